@@ -30,8 +30,11 @@ def _glob_body(glob: str) -> str:
             out.append(".+")
             i += 2
         elif rest.startswith("*"):
-            out.append("[^/]*")
-            i += len(rest) - len(rest.lstrip("*"))
+            width = len(rest) - len(rest.lstrip("*"))
+            # A star that is a whole segment needs a name; next to other characters it may be empty.
+            whole = (i == 0 or glob[i - 1] == "/") and (len(rest) == width or rest[width] == "/")
+            out.append("[^/]+" if whole else "[^/]*")
+            i += width
         elif rest.startswith("?"):
             out.append("[^/]")
             i += 1

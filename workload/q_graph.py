@@ -47,7 +47,7 @@ def dependents(w):
 
 
 @query("e4_external_dependents", f"""
-    select distinct q.query_id, r.importer as path from q join reverse r on r.repo = q.repo and starts_with(r.path, concat(q.prefix, '/'))
+    select distinct q.query_id, r.importer as path from q join reverse r on r.repo = q.repo and (r.path = q.prefix or starts_with(r.path, concat(q.prefix, '/')))
         and not starts_with(r.importer, concat(q.prefix, '/'))""", f"""{CLEAN},
     q as (select distinct concat(repo, ':', split_part(path, '/', 2)) as query_id, repo,
         concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) as prefix from v_files)""")

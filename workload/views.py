@@ -162,8 +162,7 @@ VIEWS = {
         select s_name as repo, s_nationkey as n, concat('{"repo_name": "', s_name, '", "purpose": "', case when s_nationkey = 3 then ' ' else 'Sells' end,
             '", "stack": ', case when s_nationkey = 5 then '7' else '"SQL"' end, ', "languages": ', case when s_nationkey = 7 then '[]' else '["SQL", "Go"]' end,
             ', "entrypoints": ["main.go"], "modules": ', case when s_nationkey = 9 then '[{"path": "a"}]' else '[{"path": "a", "description": "b", "more": 1}]' end,
-            ', "config_files": ', case when s_nationkey = 11 then '[1]' else '[]' end, ', "conventions": ["x"], "extra": true}',
-            case when s_nationkey = 13 then ' {' else '' end) as response
+            ', "config_files": ', case when s_nationkey = 11 then '[1]' else '[]' end, ', "conventions": ["x"], "extra": ', case when s_nationkey = 13 then 'tru' else 'true' end, '}') as response
         from supplier""",
     "v_plan_responses": """
         select repo, cast(order_id as varchar(20)) as plan_id, status, priority, order_id, concat('{"tasks": ', case when priority = '5-LOW' then '[]' else
