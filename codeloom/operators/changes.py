@@ -56,7 +56,7 @@ def update_strategy(changes: DataFrame, meta: DataFrame, heads: DataFrame, new_d
     )
     flagged = new_dirs.select("repo").distinct().withColumn("_new_dir", F.lit(True))
     joined = (
-        heads.join(meta.select("repo", "git_commit"), "repo", "left")
+        heads.select("repo", "current_commit").join(meta.select("repo", "git_commit"), "repo", "left")
         .join(counted, "repo", "left")
         .join(flagged, "repo", "left")
     )

@@ -101,4 +101,4 @@ def compare_versions(old: DataFrame, new: DataFrame) -> DataFrame:
 def needs_update(meta: DataFrame, heads: DataFrame) -> DataFrame:
     """Whether each repository of ``heads`` (repo, current_commit) has no map or one of another commit."""
     stale = F.col("git_commit").isNull() | (F.col("git_commit") != F.col("current_commit"))
-    return heads.join(meta.select("repo", "git_commit"), "repo", "left").select("repo", stale.alias("needs_update"))
+    return heads.select("repo", "current_commit").join(meta.select("repo", "git_commit"), "repo", "left").select("repo", stale.alias("needs_update"))
