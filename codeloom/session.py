@@ -47,7 +47,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/codeloom-{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    The form to cut lineage with inside loops: later plans start from plain
+    files, without constraints and estimates inherited from earlier rounds.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that later steps survive the loss of executors."""
+    """Checkpoint ``df`` in the shared folder with its partitions and their row order as they are."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

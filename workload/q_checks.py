@@ -108,7 +108,7 @@ def partial(w: Workspace):
     files = w.annotations().join(w.view("v_entry"), ["repo", "path"], "left_anti")
     nodes = w.view("v_listing").select("repo", "path")
     imports = w.imports().join(nodes, ["repo", "path"], "left_semi").filter(~F.startswith("target", F.lit("lib/promo/")))
-    return files, Graph(nodes, imports.select("repo", "path", "target"), w.view("v_importers"))
+    return files, Graph(nodes, imports.select("repo", "path", "target"), w.importers())
 
 
 @query("i4_graph_annotation_mismatch", _MISMATCH, PARTIAL)
@@ -134,7 +134,7 @@ def orphans(w):
 
 @query("i7_cycle_members", "select repo, cycle, path from cycles", f"{STALE}, {_REACH}")
 def members(w):
-    return cycles.cycle_members(Graph(w.files().select("repo", "path"), w.imports(), w.view("v_importers")))
+    return cycles.cycle_members(Graph(w.files().select("repo", "path"), w.imports(), w.importers()))
 
 
 @query("i7_circular_dependencies", _CYCLES, f"{STALE}, {_REACH}")

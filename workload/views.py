@@ -14,11 +14,13 @@ spelling differs between the engines.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.schemas import Graph
+from codeloom.session import stored
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations"]
 
@@ -208,8 +210,16 @@ def with_views(select: str, ctes: str = "") -> str:
     return f"with recursive {', '.join(parts)} {select}" if parts else select
 
 
+# Corpus tables derived so far, by application, folder and name.
+_DERIVED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Workspace:
-    """The corpus over one folder of parquet tables."""
+    """The corpus over one folder of parquet tables.
+
+    Files, edges and annotations are the operators' input tables. Spark derives
+    them whole from the given tables, once per session, into the shared folder.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -228,23 +238,38 @@ class Workspace:
     def view(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")
 
+    def derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _DERIVED:
+            _DERIVED[key] = stored(build(), name)
+        return _DERIVED[key]
+
     def annotations(self) -> DataFrame:
+        return self.derived("annotations", self._annotations)
+
+    def _annotations(self) -> DataFrame:
         """Files with their import lists, sorted; a list is as long as its file has imports."""
-        imports = self.view("v_edges").groupBy("repo", F.col("src").alias("path")).agg(F.sort_array(F.collect_list("dst")).alias("imports"))
+        imports = self.edges().groupBy("repo", F.col("src").alias("path")).agg(F.sort_array(F.collect_list("dst")).alias("imports"))
         empty = F.array().cast("array<string>")
         exports = F.when(F.col("export_list") == "", empty).otherwise(F.split("export_list", ","))
-        return self.view("v_files").join(imports, ["repo", "path"], "left").select(
+        return self.files().join(imports, ["repo", "path"], "left").select(
             "repo", "path", "language", "size_bytes", "line_count", "purpose", exports.alias("exports"), F.coalesce("imports", empty).alias("imports")
         )
 
     def files(self) -> DataFrame:
-        return self.view("v_files")
+        return self.derived("files", lambda: self.view("v_files"))
+
+    def edges(self) -> DataFrame:
+        return self.derived("edges", lambda: self.view("v_edges"))
 
     def imports(self) -> DataFrame:
-        return self.view("v_edges").select("repo", F.col("src").alias("path"), F.col("dst").alias("target"))
+        return self.edges().select("repo", F.col("src").alias("path"), F.col("dst").alias("target"))
 
     def stale_graph(self) -> Graph:
-        return Graph(self.files().select("repo", "path"), self.imports(), self.view("v_importers"))
+        return Graph(self.files().select("repo", "path"), self.imports(), self.importers())
+
+    def importers(self) -> DataFrame:
+        return self.derived("importers", lambda: self.view("v_importers"))
 
     def meta(self) -> DataFrame:
         empty = F.array().cast("array<string>")
