@@ -17,11 +17,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = ANNOTATION
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema), spark.createDataFrame([], "line string")
     full = T.StructType(schema.fields + [T.StructField(_BAD, T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
-    names = [f.name for f in schema.fields]
-    good = rows.filter(F.col(_BAD).isNull()).select(names)
-    bad = rows.filter(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("line"), names[0]).drop(names[0])
-    return good, bad
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select("value", F.from_json("value", full, options).alias("row"))
+    broken = F.col(f"row.{_BAD}").isNotNull()
+    good = rows.filter(~broken).select("row.*").drop(_BAD)
+    return good, rows.filter(broken).select(F.col("value").alias("line"))
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:

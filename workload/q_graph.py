@@ -18,10 +18,6 @@ DEGREES = f"""{CLEAN},
     scored as (select *, cast(5 * imported_by_count + 2 * import_count + 3 * n_exports - case when line_count > 1000 then 5 else 0 end as bigint) as score from degrees)"""
 
 
-def clean_graph(w: Workspace) -> G.Graph:
-    return G.build_graph(w.annotations())
-
-
 @query("e1_edges", """
     select e.repo, src, dst, f.path is not null as resolved from v_edges e left join v_files f on e.repo = f.repo and e.dst = f.path""")
 def edges(w):
@@ -34,7 +30,7 @@ def edges(w):
 def dependencies(w):
     wanted = w.view("v_order").withColumnRenamed("order_id", "query_id")
     files = w.annotations()
-    return G.dependencies(wanted, G.build_graph(files), files).select("query_id", "path", "purpose")
+    return G.dependencies(wanted, w.graph(), files).select("query_id", "path", "purpose")
 
 
 @query("e3_dependents", f"""
@@ -43,7 +39,7 @@ def dependencies(w):
 def dependents(w):
     wanted = w.sql("select n_nationkey as query_id, repo, path from v_files join nation on repo = n_name where path like 'lib/promo/%'")
     files = w.annotations()
-    return G.dependents(wanted, G.build_graph(files), files).select("query_id", "path")
+    return G.dependents(wanted, w.graph(), files).select("query_id", "path")
 
 
 @query("e4_external_dependents", f"""
@@ -56,7 +52,7 @@ def external(w):
         F.concat("repo", F.lit(":"), F.split_part("path", F.lit("/"), F.lit(2))).alias("query_id"), "repo",
         F.substring_index("path", "/", 2).alias("prefix")).distinct()
     files = w.annotations()
-    return G.external_dependents(wanted, G.build_graph(files), files).select("query_id", "path")
+    return G.external_dependents(wanted, w.graph(), files).select("query_id", "path")
 
 
 SCOPES = """select c_custkey as task_id, n_name as repo, case when c_mktsegment = 'MACHINERY' then concat('src/c', cast(c_custkey as varchar(20)), '/')
@@ -96,6 +92,10 @@ MERGED = f"""u as ({UPDATED_FILES}), ue as ({UPDATED_EDGES}),
 
 
 def updated(w: Workspace):
+    return w.derived("updated", lambda: _updated(w))
+
+
+def _updated(w: Workspace):
     empty = F.array().cast("array<string>")
     lists = w.sql(f"select * from ({UPDATED_EDGES}) as x").groupBy("repo", F.col("src").alias("path")).agg(F.collect_list("dst").alias("imports"))
     return w.sql(f"select * from ({UPDATED_FILES}) as x").join(lists, ["repo", "path"], "left").select(
@@ -126,14 +126,14 @@ def merge_counts(w):
     left join (select repo, src, string_agg(dst, '|' order by dst) as l from v_edges group by all) i on i.repo = f.repo and i.src = f.path
     left join (select repo, path, string_agg(importer, '|' order by importer) as l from reverse group by all) r on r.repo = f.repo and r.path = f.path""", CLEAN)
 def build(w):
-    return G.adjacency(clean_graph(w)).select("repo", "path", F.array_join("imports", "|").alias("imports"), F.array_join("imported_by", "|").alias("imported_by"))
+    return G.adjacency(G.build_graph(w.annotations())).select("repo", "path", F.array_join("imports", "|").alias("imports"), F.array_join("imported_by", "|").alias("imported_by"))
 
 
 @query("f2_update_graph", """
     select repo, src as path, 'imports' as direction, dst as other from merged_edges
     union all select distinct e.repo, e.dst, 'imported_by', e.src from merged_edges e join merged m on m.repo = e.repo and m.path = e.dst""", MERGED)
 def update(w):
-    return G._entries(G.update_graph(clean_graph(w), updated(w), w.view("v_gone")))
+    return G._entries(G.update_graph(w.graph(), updated(w), w.view("v_gone")))
 
 
 @query("f3_graph_stats", """
@@ -141,7 +141,7 @@ def update(w):
         max(import_count) as max_imports, max(imported_by_count) as max_imported_by, count(*) filter (import_count + imported_by_count = 0) as orphan_count
     from degrees group by repo""", DEGREES)
 def stats(w):
-    return G.graph_stats(clean_graph(w)).withColumn("avg_imports_per_file", F.round("avg_imports_per_file", 6))
+    return G.graph_stats(w.graph()).withColumn("avg_imports_per_file", F.round("avg_imports_per_file", 6))
 
 
 @query("f4_graph_diff", """
@@ -153,7 +153,7 @@ def stats(w):
     new_entries as (select repo, src as path, 'imports' as direction, dst as other from merged_edges
         union all select e.repo, e.dst, 'imported_by', e.src from merged_edges e join merged m on m.repo = e.repo and m.path = e.dst)""")
 def diff(w):
-    old = clean_graph(w)
+    old = w.graph()
     return G.graph_diff(old, G.update_graph(old, updated(w), w.view("v_gone")))
 
 
@@ -161,26 +161,26 @@ def diff(w):
     select e.repo, e.src as path, 'imports' as direction, e.dst as other from v_edges e join v_gone g on g.repo = e.repo and g.path = e.dst
     union all select r.repo, r.path, 'imported_by', r.importer from reverse r join v_gone g on g.repo = r.repo and g.path = r.importer""", CLEAN)
 def broken(w):
-    return G.broken_references(clean_graph(w), w.view("v_gone"))
+    return G.broken_references(w.graph(), w.view("v_gone"))
 
 
 @query("k1_rank_files", "select repo, path, import_count, imported_by_count, import_count + imported_by_count as connectivity, score from scored", DEGREES)
 def rank(w):
     files = w.annotations()
-    return ranking.rank_files(files, G.build_graph(files)).select("repo", "path", "import_count", "imported_by_count", "connectivity", "score")
+    return ranking.rank_files(files, w.graph()).select("repo", "path", "import_count", "imported_by_count", "connectivity", "score")
 
 
 @query("k2_top_files", "select repo, path, score from scored order by score desc, repo, path limit 25", DEGREES)
 def top(w):
     files = w.annotations()
-    return ranking.top_files(ranking.scored_files(files, G.build_graph(files)), 25).select("repo", "path", "score")
+    return ranking.top_files(ranking.scored_files(files, w.graph()), 25).select("repo", "path", "score")
 
 
 @query("k2_top_files_per_repo", """
     select repo, path, score, import_count, imported_by_count from scored qualify row_number() over (partition by repo order by score desc, path) <= 10""", DEGREES)
 def top_per_repo(w):
     files = w.annotations()
-    ranked = ranking.scored_files(files, G.build_graph(files))
+    ranked = ranking.scored_files(files, w.graph())
     return ranking.top_files(ranked, 10, per=["repo"]).select("repo", "path", "score", "import_count", "imported_by_count")
 
 

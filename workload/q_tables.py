@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeloom.functions import paths
 from codeloom.operators import checks
 from codeloom.operators import graph as G
 from codeloom.operators import harvest
 from codeloom.session import scratch_path
 from codeloom.sources import contracts, files, logs, maps
 from codeloom.streaming import streams
-
 from workload.q_graph import MERGED, updated
 from workload.registry import query
 from workload.views import Workspace
@@ -29,13 +29,13 @@ def shown(annotations):
 
 
 @query("a1_scan_files", """
-    select repo, count(*) as total_files, cast(sum(line_count) as bigint) as total_lines, cast(sum(strlen(text)) as bigint) as total_size_bytes from (
+    select repo, count(*) as total_files, cast(sum(line_count + 1) as bigint) as total_lines, cast(sum(strlen(text) + 1) as bigint) as total_size_bytes from (
         select lang as repo, text, line_count from v_text) group by repo""")
 def scan(w):
     """Every document as a text file of its language's folder, scanned back as one repository per folder."""
     base = scratch_path(w.spark, "scan")
-    # One file per document: the document id is the partition folder.
-    w.view("v_text").select("lang", "doc_id", F.col("text").alias("value")).repartition("doc_id").write.partitionBy("lang", "doc_id").option("lineSep", "").text(base)
+    # One file per document: the document id is the partition folder. The writer ends each text with a line break.
+    w.view("v_text").select("lang", "doc_id", F.col("text").alias("value")).repartition("doc_id").write.partitionBy("lang", "doc_id").text(base)
     languages = [r.lang for r in w.table("documents").select("lang").distinct().collect()]
     found = files.harvest(w.spark, {name: f"{base}/lang={name}" for name in languages})
     return found.groupBy("repo").agg(
@@ -51,7 +51,7 @@ def written_map(w: Workspace):
         F.lit(None).cast("bigint").alias("parent_version"), F.lit("full").alias("update_type"), F.lit(None).cast("bigint").alias("files_changed"),
         "repo_name", "purpose", "stack", "languages", "entrypoints", "modules", "config_files", "conventions")
     stats = harvest.harvest_totals(annotations)
-    maps.write_map(annotations, G.build_graph(annotations), meta, stats, checks.missing_imports(annotations), base)
+    maps.write_map(annotations, w.graph(), meta, stats, checks.missing_imports(annotations), base)
     return maps.read_tables(w.spark, base)
 
 
@@ -74,10 +74,12 @@ def tree(w):
     return shown(maps.read_tree(w.spark, base))
 
 
-@query("a3_read_tree_missing", "select repo, path from v_files where false")
-def no_tree(w):
-    """Folders that do not exist give an empty table; here per corpus folder."""
-    return maps.read_tree(w.spark, scratch_path(w.spark, "absent")).join(w.files().select("repo", "path"), ["repo", "path"], "left_semi").select("repo", "path")
+@query("a3_read_tree", "select repo, split_part(path, '/', 1) as top_dir, count(*) as files, cast(sum(line_count) as bigint) as lines from v_files group by all")
+def read_tree(w):
+    base = scratch_path(w.spark, "tree")
+    maps.write_tree(w.annotations(), base)
+    rows = paths.with_path_parts(maps.read_tree(w.spark, base))
+    return rows.groupBy("repo", "top_dir").agg(F.count(F.lit(1)).alias("files"), F.sum("line_count").alias("lines"))
 
 
 @query("a4_read_jsonl", """
@@ -107,9 +109,7 @@ def change_log(w):
     # Blank lines lie between the entries.
     w.view("v_change_lines").select("repo", F.concat("line", F.lit("\n"))).write.partitionBy("repo").text(base)
     repos = [r.n_name for r in w.table("nation").select("n_name").collect()]
-    from codeloom.operators.checks import union_all
-
-    return union_all([logs.read_change_log(w.spark, f"{base}/repo={name}", name) for name in repos])
+    return checks.union_all([logs.read_change_log(w.spark, f"{base}/repo={name}", name) for name in repos])
 
 
 @query("a9_read_call_log", """
@@ -184,6 +184,6 @@ def stream_changes(w):
     arriving = w.spark.readStream.schema(final.schema).option("maxFilesPerTrigger", 4).parquet(source)
     streams.stream_changes(arriving, out, state).awaitTermination()
     annotations = w.annotations()
-    merged, graph = streams.apply_changes(w.spark, annotations, G.build_graph(annotations), out)
+    merged, graph = streams.apply_changes(w.spark, annotations, w.graph(), out)
     lines = merged.select("repo", "path", F.lit("lines").alias("direction"), F.col("line_count").cast("string").alias("other"))
     return G._entries(graph).unionByName(lines)

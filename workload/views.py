@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators.graph import build_graph
 from codeloom.schemas import Graph
 from codeloom.session import stored
 
@@ -265,6 +266,13 @@ class Workspace:
     def imports(self) -> DataFrame:
         return self.edges().select("repo", F.col("src").alias("path"), F.col("dst").alias("target"))
 
+    def graph(self) -> Graph:
+        """The graph of all annotations, as it would be loaded from a stored map."""
+        parts = {}
+        for name in Graph._fields:
+            parts[name] = self.derived(f"graph_{name}", lambda: getattr(build_graph(self.annotations()), name))
+        return Graph(**parts)
+
     def stale_graph(self) -> Graph:
         return Graph(self.files().select("repo", "path"), self.imports(), self.importers())
 
