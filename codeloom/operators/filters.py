@@ -58,7 +58,8 @@ def match_prefixes(queries: DataFrame, files: DataFrame) -> DataFrame:
     keys = F.concat(ancestors(path), F.array(F.concat(path, F.lit("/"))))
     keyed = files.withColumn("_key", F.explode(keys))
     wanted = queries.select("query_id", "repo", "prefix", dir_prefix(F.col("prefix")).alias("_key"))
-    return keyed.join(wanted, ["repo", "_key"]).drop("_key")
+    hit = (path == F.col("prefix")) | F.startswith(path, F.col("_key"))
+    return keyed.join(wanted, ["repo", "_key"]).filter(hit).drop("_key")
 
 
 def find_by_path(files: DataFrame, path: str) -> DataFrame:
