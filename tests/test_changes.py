@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from codeloom.operators import calls, changes, versions
+from conftest import rows
+
+LINES = "repo string, line string"
+
+
+@pytest.mark.parametrize("line, expected", [
+    ("A\tsrc/a.ts", [("A", "src/a.ts")]),
+    ("M\tsrc/a.ts", [("M", "src/a.ts")]),
+    ("D\tsrc/a.ts", [("D", "src/a.ts")]),
+    ("R100\tsrc/a.ts\tsrc/b.ts", [("A", "src/b.ts"), ("D", "src/a.ts")]),
+    ("R100\tsrc/a.png\tsrc/b.ts", [("A", "src/b.ts"), ("D", "src/a.png")]),
+    ("R100\tsrc/a.ts\tsrc/b.png", []),
+    ("C75\tsrc/a.ts\tsrc/b.ts", []),
+    ("A\tnode_modules/x.js", []),
+    ("A\tsrc/dist/x.js", []),
+    ("A\tyarn.LOCK", []),
+    ("   ", []),
+])
+def test_parse(table, line, expected):
+    assert rows(changes.parse_changes(table([("r", line)], LINES)), "status", "path") == expected
+
+
+def test_new_top_dirs(table):
+    moved = table([("r", "A", "new/x.ts"), ("r", "A", "src/x.ts"), ("r", "A", "root.ts"), ("r", "M", "other/x.ts"), ("r", "A", ".ci/x")], "repo string, status string, path string")
+    listing = table([("r", "src/a.ts"), ("r", ".ci/y")], "repo string, path string")
+    assert rows(changes.new_top_dirs(moved, listing), "top_dir") == [(".ci",), ("new",)]
+
+
+def strategy(table, n, meta=(("r", "old"),), path="src/f{}.ts"):
+    changed = table([("r", "A", path.format(i)) for i in range(n)], "repo string, status string, path string")
+    listing = table([("r", "src/known.ts")], "repo string, path string")
+    return changes.update_strategy(
+        changed, table(list(meta), "repo string, git_commit string"), table([("r", "new")], "repo string, current_commit string"),
+        changes.new_top_dirs(changed, listing)).first()
+
+
+@pytest.mark.parametrize("n, name, reason", [
+    (0, "delta", "0 files changed (<20)"),
+    (19, "delta", "19 files changed (<20)"),
+    (20, "delta-with-validation", "20 files changed (20-100)"),
+    (100, "delta-with-validation", "100 files changed (20-100)"),
+    (101, "full-rebuild", "101 files changed (>100)"),
+])
+def test_strategy_boundaries(table, n, name, reason):
+    row = strategy(table, n)
+    assert (row.strategy, row.reason, row.total_changes) == (name, reason, n)
+
+
+def test_strategy_special_cases(table):
+    assert strategy(table, 5, meta=()).reason == "No existing map found"
+    same = strategy(table, 5, meta=[("r", "new")])
+    assert (same.strategy, same.reason, same.total_changes) == ("delta", "Map is up to date", 0)
+    assert strategy(table, 1, path="fresh/f{}.ts").reason == "New top-level directory detected"
+
+
+HISTORY = "repo string, map_version long, parent_version long, update_type string, files_changed long"
+
+
+@pytest.mark.parametrize("row, rule", [
+    ((1, None, "full", None), None),
+    ((2, 1, "delta", 5), None),
+    ((0, None, "full", None), "Invalid map version: must be >= 1"),
+    ((1, 1, "full", None), "First version should not have a parent version"),
+    ((2, None, "full", None), "Version > 1 should have a parent version"),
+    ((2, 2, "full", None), "Parent version must be less than current version"),
+    ((2, 1, "delta", None), "Delta updates must specify files_changed"),
+    ((2, 1, "full", 3), "Full rebuilds should not have files_changed set"),
+])
+def test_version_rules(table, row, rule):
+    assert [r.rule for r in versions.check_versions(table([("r", *row)], HISTORY)).collect()] == ([rule] if rule else [])
+
+
+def test_version_texts(table):
+    df = table([("a", 3, 2, "delta", 7), ("b", 1, None, "full", None)], HISTORY).withColumns({
+        "created_at": F.lit("2024-01-01 00:00:00").cast("timestamp"), "last_updated": F.lit("2024-01-03 12:00:00").cast("timestamp")})
+    got = {r.repo: (r.version, r.history) for r in versions.version_report(df).collect()}
+    assert got == {
+        "a": ("v3 (delta) ← v2", "Version 3\nBuilt from version 2\nUpdate type: delta\nFiles changed: 7\nMap age: 2 days"),
+        "b": ("v1", "Initial version")}
+
+
+def test_commit_distance_of_unknown_commits(table):
+    log = table([("r", "c1", "2024-01-01 00:00:00", 1), ("r", "c2", "2024-01-02 00:00:00", 2)], "repo string, commit string, committed_at string, ordinal long")
+    meta = table([("r", "c1"), ("s", "lost")], "repo string, git_commit string")
+    got = {r.repo: (r.commit_age_days, r.commits_ahead) for r in changes.commit_distance(log, meta, "2024-01-03 23:00:00").collect()}
+    assert got == {"r": (2, 1), "s": (0, 0)}
+
+
+def test_costs_and_speed(table):
+    log = table([(1, "claude-haiku-4-5-20251001", 1_000_000, 2_000_000, 500), (2, "unknown", 10, 10, 0)],
+                "call_id int, model string, input_tokens long, output_tokens long, latency_ms long")
+    got = [(r.cost, r.tokens_per_second) for r in calls.call_speed(log).orderBy("call_id").collect()]
+    assert got == [(2.75, 4_000_000.0), (0.0, 0.0)]

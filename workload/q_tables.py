@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
@@ -29,13 +30,23 @@ def shown(annotations):
 
 
 @query("a1_scan_files", """
-    select repo, count(*) as total_files, cast(sum(line_count + 1) as bigint) as total_lines, cast(sum(strlen(text) + 1) as bigint) as total_size_bytes from (
+    select repo, count(*) as total_files, cast(sum(line_count) as bigint) as total_lines, cast(sum(strlen(text)) as bigint) as total_size_bytes from (
         select lang as repo, text, line_count from v_text) group by repo""")
 def scan(w):
     """Every document as a text file of its language's folder, scanned back as one repository per folder."""
     base = scratch_path(w.spark, "scan")
-    # One file per document: the document id is the partition folder. The writer ends each text with a line break.
-    w.view("v_text").select("lang", "doc_id", F.col("text").alias("value")).repartition("doc_id").write.partitionBy("lang", "doc_id").text(base)
+
+    def write(batches):
+        for batch in batches:
+            for lang, doc_id, text in batch.itertuples(index=False):
+                system, root = fs.FileSystem.from_uri(base)
+                folder = f"{root}/lang={lang}/{doc_id // 100}"
+                system.create_dir(folder, recursive=True)
+                with system.open_output_stream(f"{folder}/_doc{doc_id}.md") as stream:
+                    stream.write(text.encode())
+            yield batch[["doc_id"]]
+
+    w.view("v_text").select("lang", "doc_id", "text").mapInPandas(write, "doc_id bigint").write.format("noop").mode("overwrite").save()
     languages = [r.lang for r in w.table("documents").select("lang").distinct().collect()]
     found = files.harvest(w.spark, {name: f"{base}/lang={name}" for name in languages})
     return found.groupBy("repo").agg(
