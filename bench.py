@@ -40,6 +40,7 @@ def main() -> None:
     corpus = Workspace(spark, sf_dir)
     corpus.graph()
     corpus.importers()
+    corpus.derived("source", lambda: corpus.view("v_source"))
     seconds = {"corpus": round(time.time() - start, 3)}
     for name in names:
         start = time.time()

@@ -65,26 +65,22 @@ def adjacency(graph: Graph, page_size: int = 100_000) -> DataFrame:
     entries; then its entries are spread over as many pages as needed, so that
     no hub has to fit into one row or one task.
     """
-    def paged(entries: DataFrame, value: str, count: str, name: str) -> DataFrame:
-        pages = F.ceil(F.col(count) / page_size).cast("int")
-        # Only nodes above the page size need the hash; all others have one page.
-        page = F.when(pages <= 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(value), pages).cast("int"))
-        return (
-            entries.join(sizes.select("repo", "path", count), ["repo", "path"])
-            .groupBy("repo", "path", page.alias("page"))
-            .agg(F.sort_array(F.collect_list(value)).alias(name))
-        )
-
-    sizes = degrees(graph)
-    imports = paged(graph.imports, "target", "import_count", "imports")
-    importers = paged(graph.importers, "importer", "imported_by_count", "imported_by")
-    empty = F.array().cast("array<string>")
-    first = graph.nodes.withColumn("page", F.lit(0))
-    every = first.unionByName(imports.select("repo", "path", "page")).unionByName(importers.select("repo", "path", "page")).distinct()
-    return (
-        every.join(imports, ["repo", "path", "page"], "left")
-        .join(importers, ["repo", "path", "page"], "left")
-        .select("repo", "path", "page", F.coalesce("imports", empty).alias("imports"), F.coalesce("imported_by", empty).alias("imported_by"))
+    def paged(entries: DataFrame, value: str) -> DataFrame:
+        # Only nodes above the page size need more than page 0, and there are at
+        # most as many of them as there are full pages.
+        long = entries.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > page_size)
+        page = F.coalesce(F.pmod(F.xxhash64(value), F.ceil(F.col("_n") / page_size)), F.lit(0)).cast("int")
+        return entries.join(long, ["repo", "path"], "left").select("repo", "path", page.alias("page"), value)
+
+    # One aggregate over nodes and both kinds of entries, so one shuffle for the nested rows.
+    rows = (
+        graph.nodes.select("repo", "path", F.lit(0).alias("page"))
+        .unionByName(paged(graph.imports, "target"), allowMissingColumns=True)
+        .unionByName(paged(graph.importers, "importer"), allowMissingColumns=True)
+    )
+    return rows.groupBy("repo", "path", "page").agg(
+        F.sort_array(F.collect_list("target")).alias("imports"),
+        F.sort_array(F.collect_list("importer")).alias("imported_by"),
     )
 
 

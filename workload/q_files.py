@@ -231,7 +231,7 @@ def subset(w):
         regexp_extract_all(content, 'import\s+[''"]([^''"]+)[''"]', 1), regexp_extract_all(content, 'require\s*\(\s*[''"]([^''"]+)[''"]\s*\)', 1)), '|') as raw_imports
     from v_source""")
 def extract(w):
-    return imports.extract_imports(w.view("v_source")).select("repo", "path", F.array_join("raw_imports", "|").alias("raw_imports"))
+    return imports.extract_imports(w.derived("source", lambda: w.view("v_source"))).select("repo", "path", F.array_join("raw_imports", "|").alias("raw_imports"))
 
 
 @query("d2_symbol_imports", r"""
@@ -242,7 +242,7 @@ def extract(w):
         case when dst like 'lib/%' then 'x' when dst = 'src/types.ts' then 'T' else '' end as names
     from v_source_line""")
 def symbol_imports(w):
-    return symbols.symbol_imports(w.view("v_source")).select(
+    return symbols.symbol_imports(w.derived("source", lambda: w.view("v_source"))).select(
         "repo", "path", "line", "type", "is_side_effect", "source",
         F.coalesce(F.array_join("named_imports", ","), F.lit("")).alias("names"))
 
@@ -287,7 +287,7 @@ def internal(w):
     select repo, path, string_agg(regexp_replace(dst, '\.ts$', ''), '|' order by dst like 'src/c%', dst) as imports
     from v_source_line where dst <> '~fs' group by repo, path""")
 def resolve(w):
-    found = imports.extract_imports(w.view("v_source"))
+    found = imports.extract_imports(w.derived("source", lambda: w.view("v_source")))
     return imports.resolve_imports(found).select("repo", "path", F.array_join("imports", "|").alias("imports"))
 
 
