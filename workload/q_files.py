@@ -234,6 +234,16 @@ def extract(w):
     return imports.extract_imports(w.derived("source", lambda: w.view("v_source"))).select("repo", "path", F.array_join("raw_imports", "|").alias("raw_imports"))
 
 
+_SOURCE = """case when dst = '~fs' then 'fs' when dst like 'lib/%' then concat('../../', dst) when dst = 'src/types.ts' then '../types'
+    else concat('./', regexp_replace(dst, '^.*/', '')) end"""
+
+
+@query("d1_raw_imports", f"select repo, path, string_agg({_SOURCE}, '|' order by dst) as raw_imports from v_source_line group by repo, path")
+def raw(w):
+    rows = symbols.raw_imports(w.derived("source", lambda: w.view("v_source")))
+    return rows.select("repo", "path", F.array_join("raw_imports", "|").alias("raw_imports"))
+
+
 @query("d2_symbol_imports", r"""
     select repo, path, cast(row_number() over (partition by repo, path order by dst) as int) as line, case when dst = '~fs' then 'require'
         when dst = 'src/types.ts' then 'type-only' else 'static' end as type, dst like 'src/c%' as is_side_effect,
