@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, packing, simhash_dedup
-from codeloom.llm.common import table
+from codeloom.llm import fingerprints, mixing, packing, simhash_dedup, toxicity
+from codeloom.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents, fingerprints at most four bits apart."""
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, their likeness, and how many documents lie near each."""
+    scratch = Scratch(spark, "fingerprints")
+    prints = scratch.keep(fingerprints.fingerprint_documents(table(spark, sf_dir, "documents")))
+    near = fingerprints.within_radius(prints).select("fp", "n_within")
+    digits = lambda name: F.lpad(F.lower(F.hex(name)), 16, "0")
+    alike = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64
+    return prints.join(near, "fp").select(
+        "doc_id", "n_chars", "edited_sha256", digits("fp").alias("fingerprint"), digits("edited_fp").alias("edited_fingerprint"),
+        alike("fp", "edited_fp").alias("near_edited"), alike("fp", "next_fp").alias("near_next"), "n_within")
+
+
+@query
+def op7_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a network trained on labelled ones outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
