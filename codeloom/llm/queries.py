@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import fingerprints, mixing, packing, simhash_dedup, toxicity
+from codeloom.llm import fingerprints, host_reputation, mixing, packing, simhash_dedup, toxicity
 from codeloom.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,56 @@ def op7_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by a network trained on labelled ones outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+# (verdict, host, path) of the rules that come before the reputation.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query
+def op3_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all urls; an outcome is bad if the page is labelled toxic or of low quality."""
+    outcomes = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return host_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+ORACLES["op3_host_reputation"] = """
+with places as materialized (
+  select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages)),
+outcomes as (select doc_id as page_id, (quality = 0 or toxic = 1) as bad from labels where doc_id is not null and (quality = 0 or toxic = 1) is not null),
+counted as (select host, count(bad) as n, count(*) filter (where bad) as x from places left join outcomes using (page_id) group by host),
+names as (select *, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?\\.?$', '') as name from counted),
+labelled as (select *, string_split(name, '.') as labels, regexp_matches(name, '^[0-9.]+$') as number from names),
+two as (select *, array_to_string(labels[-2:], '.') in ('ac.uk', 'co.uk', 'gov.uk', 'org.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.za', 'com.br', 'com.cn',
+  'co.in', 'co.jp', 'ne.jp', 'or.jp', 'co.kr', 'com.mx', 'com.tr', 'com.tw', 'com.ar') as two from labelled),
+hosts as materialized (
+  select host, n, x, case when number then name when two then array_to_string(labels[-3:], '.') else array_to_string(labels[-2:], '.') end as domain,
+    case when number then name when two then array_to_string(labels[-2:], '.') else labels[-1] end as suffix from two),
+overall as (select (sum(x) + 0.5::double) / (sum(n) + 1.0::double) as m from hosts),
+suffixes as materialized (select suffix, sum(n)::bigint as n, sum(x)::bigint as x, any_value(m) as m from hosts, overall group by suffix),
+strength_s as (select 1 / least(greatest(coalesce((sum((x - n * m) * (x - n * m)) - sum(n * m * (1 - m))) / nullif(sum((n - 1) * (n * m * (1 - m))), 0), 0.0001), 0.0001::double), 0.5::double) - 1 as s from suffixes),
+suffix_means as (select suffix, (s * m + x) / (s + n) as m from suffixes, strength_s),
+domains as materialized (
+  select domain, sum(n)::bigint as n, sum(x)::bigint as x, any_value(m) as m from hosts join suffix_means using (suffix) group by domain),
+strength_d as (select 1 / least(greatest(coalesce((sum((x - n * m) * (x - n * m)) - sum(n * m * (1 - m))) / nullif(sum((n - 1) * (n * m * (1 - m))), 0), 0.0001), 0.0001::double), 0.5::double) - 1 as s from domains),
+domain_means as (select domain, (s * m + x) / (s + n) as m from domains, strength_d),
+priors as materialized (select host, n, x, m from hosts join domain_means using (domain)),
+strength_h as (select 1 / least(greatest(coalesce((sum((x - n * m) * (x - n * m)) - sum(n * m * (1 - m))) / nullif(sum((n - 1) * (n * m * (1 - m))), 0), 0.0001), 0.0001::double), 0.5::double) - 1 as s from priors),
+means as (select host, n, s, (s * m + x) / (s + n) as mean from priors, strength_h),
+reputation as (select host, n, mean, mean - 1.645::double * sqrt(mean * (1 - mean) / (s + n + 1)) as low from means),
+rules(name, verdict, host, path) as (values ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+  ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+fitting as (
+  select p.host, p.path, arg_max(struct_pack(name := r.name, verdict := r.verdict), length(r.name) * 1000 + length(r.host)) as best
+  from (select distinct host, path from places) p join rules r
+    on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+  group by p.host, p.path)
+select page_id, host, path, best.name as rule, coalesce(best.verdict, case when low > 0.2 then 'block' else 'allow' end) as verdict,
+  n as n_labelled, round(mean, 6) as bad_mean, round(low, 6) as bad_low
+from places join reputation using (host) left join fitting using (host, path)
+"""
