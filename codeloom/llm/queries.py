@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import fingerprints, host_reputation, mixing, packing, simhash_dedup, toxicity
+from codeloom.llm import fingerprints, host_reputation, html_blocks, mixing, packing, simhash_dedup, toxicity
 from codeloom.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,9 @@ select page_id, host, path, best.name as rule, coalesce(best.verdict, case when
   n as n_labelled, round(mean, 6) as bad_mean, round(low, 6) as bad_low
 from places join reputation using (host) left join fitting using (host, path)
 """
+
+
+@query
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_blocks.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
