@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import fingerprints, host_reputation, html_blocks, mixing, packing, simhash_dedup, toxicity
-from codeloom.llm.common import Scratch, table
+from codeloom.llm import arc, fingerprints, host_reputation, html_blocks, mixing, packing, simhash_dedup, toxicity
+from codeloom.llm.common import Scratch, remove, table
+from codeloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +143,33 @@ from places join reputation using (host) left join fitting using (host, path)
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_blocks.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as legacy archives, converted to WARC and read back."""
+    legacy, converted = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    arc.write_arc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), legacy)
+    arc.convert(spark, legacy, converted, min_bytes=0)
+    remove(spark, legacy)
+    scratch = Scratch(spark, "warc-records")
+    records = scratch.keep(arc.read_warc(spark, converted, with_payload=False).drop("payload"))
+    remove(spark, converted)
+    return arc.resolved(records).drop("target_uri")
+
+
+ORACLES["op6_arc_to_warc"] = """
+with payloads as (select page_id, coalesce(html, '') as html from pages),
+digests as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha1(html) as hex from payloads),
+named as (
+  select page_id, payload_bytes, array_to_string(list_transform(range(8), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 5 * i::int, 5))::int >> 15), 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * i::int, 5))::int >> 10) & 31), 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * i::int, 5))::int >> 5) & 31), 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(hex, 1 + 5 * i::int, 5))::int & 31), 1)), '') as payload_digest
+  from digests),
+firsts as (select *, min(page_id) over (partition by payload_digest, payload_bytes) as first from named)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to
+from firsts
+"""
