@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import arc, fingerprints, host_reputation, html_blocks, mixing, packing, simhash_dedup, toxicity
+from codeloom.llm import (
+    arc, embedding_dedup, fingerprints, host_reputation, html_blocks, mixing, packing, simhash_dedup, token_trees, toxicity,
+)
 from codeloom.llm.common import Scratch, remove, table
 from codeloom.session import scratch_path
 
@@ -173,3 +175,43 @@ select page_id, payload_bytes, payload_digest, case when page_id = first then 'r
   case when page_id <> first then first end as refers_to
 from firsts
 """
+
+
+@query
+def op2_pivot_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with a cosine of at least 0.9."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_pivot_near_duplicates"] = """
+with recursive units as materialized (
+  select vec_id, list_transform(embedding::double[], lambda x: x / sqrt(list_inner_product(embedding::double[], embedding::double[]))) as u
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as materialized (
+  select a.vec_id as a, b.vec_id as b from units a join units b on a.vec_id <> b.vec_id and list_inner_product(a.u, b.u) >= 0.9),
+reached(a, b) as (select vec_id, vec_id from units union select r.a, l.b from reached r join links l on r.b = l.a),
+least as (select a, min(b) as component_id from reached group by a),
+degree as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(d.n, 0)::bigint as n_links, coalesce(l.component_id, e.vec_id) as component_id, e.vec_id = coalesce(l.component_id, e.vec_id) as kept
+from embeddings e left join degree d on d.a = e.vec_id left join least l on l.a = e.vec_id
+"""
+
+
+@query
+def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after four edits each: at a quarter, in the middle, at three quarters, at the end."""
+    scratch = Scratch(spark, "trees")
+    trees = scratch.keep(token_trees.build_trees(table(spark, sf_dir, "documents")))
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
+    edit = lambda start, length, text: F.struct(start.alias("start"), length.cast("long").alias("length"), text.alias("text"))
+    inserted = F.substring("text", 1, 40)
+    edits = F.array(
+        edit(F.floor(n / 4), F.lit(25), F.concat(F.lit(" changed at "), F.col("doc_id").cast("string"))),
+        edit(F.floor(n / 2), F.lit(0), inserted),
+        edit(F.floor(n * 3 / 4), F.least(F.floor(n / 8), F.lit(300)), F.lit("")),
+        edit(n, F.lit(0), F.lit("\n\nEnd.  ")))
+    edited = token_trees.apply_edits(trees.withColumn("edits", edits))
+    return edited.select("doc_id", "n_tokens_before", "n_tokens", F.char_length("text").cast("long").alias("n_chars"), "encoded_chars",
+                         F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"))

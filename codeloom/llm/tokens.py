@@ -11,6 +11,7 @@ import json
 import os
 import re
 from array import array
+from functools import cached_property
 
 # A space with something other than white space on both sides: a pre-token begins at it, whatever stands further away.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -53,12 +54,16 @@ def _by_rank(path: str):
 
 class Encoder:
     def __init__(self, path: str):
+        self.path, self.by_rank = path, _by_rank(path)
+
+    @cached_property
+    def tokenizer(self):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        self.by_rank = _by_rank(path)
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True  # their names in a text are ordinary text
+        return found
 
     def ids(self, text: str) -> list[int]:
         if self.by_rank is None:
