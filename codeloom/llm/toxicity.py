@@ -35,7 +35,7 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM, BUCKETS, VOCABULARY = 8, 8, 12, 1 << 14, 4000
 _ROUNDS, _STEPS, _BATCH, _RATE, _DECAY = 6, 80, 128, 0.012, 0.3
 _REMEMBERED = 150_000
-_WINDOWS_AT_ONCE = 2048
+_WINDOWS_AT_ONCE = 1024
 _EDGE = 2  # code point that stands for both ends of a word
 _MARKS = ".,;:!?\"'()[]{}<>*#%&$-_/\\|~`=+"
 
@@ -179,32 +179,29 @@ class Model:
 
     def best_logits(self, texts: list[str | None]) -> np.ndarray:
         """The highest window score of each text."""
-        words, ends = [], []
-        for text in texts:
-            found = (text or "").split()
-            words += found
-            ends.append(len(found))
-        rows = self._lookup(words)
-        at, places, owner, lengths = 0, [], [], []
-        for i, n in enumerate(ends):
-            for a, b in _spans(n):
-                places.append(at + a)
-                lengths.append(b - a)
-                owner.append(i)
-            at += n
-        places, lengths, owner = np.array(places), np.array(lengths), np.array(owner)
-        best = np.full(len(ends), -np.inf)
-        padded = np.concatenate([rows, np.zeros(WINDOW, "i4")])
+        owner, found = self.all_logits([(t or "").split() for t in texts])
+        best = np.full(len(texts), -np.inf)
+        np.maximum.at(best, owner, found)
+        return best
+
+    def all_logits(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all windows of texts given as words, in order, and the text each belongs to."""
+        rows = np.concatenate([self._lookup([w for words in docs for w in words]), np.zeros(WINDOW, "i4")])
+        at, places = 0, []
+        for i, words in enumerate(docs):
+            places += [(at + a, b - a, i) for a, b in _spans(len(words))]
+            at += len(words)
+        first, lengths, owner = np.array(places, "i8").reshape(-1, 3).T
+        out = np.empty(len(first))
         # Windows of full length go together, so that only the short texts need a mask.
         order = np.argsort(lengths, kind="stable")
         for start in range(0, len(order), _WINDOWS_AT_ONCE):
             some = order[start:start + _WINDOWS_AT_ONCE]
             steps = max(int(lengths[some].max()), 1)
-            window = padded[places[some][:, None] + np.arange(steps)]
-            size = np.maximum(lengths[some], 1)
+            window = rows[first[some][:, None] + np.arange(steps)]
             window[np.arange(steps) >= lengths[some][:, None]] = 0
-            np.maximum.at(best, owner[some], self.window_logits(window, size))
-        return best
+            out[some] = self.window_logits(window, np.maximum(lengths[some], 1))
+        return owner, out
 
 
 # Training
@@ -346,9 +343,10 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         if turn >= 2:
             # Highest-scoring windows first, by the model so far.
             model.cache, model.rows = {}, None
-            best = [np.argsort(-_window_scores(model, d, s)) for d, s in zip(docs, spans)]
+            found = _per_document(model, docs)
+            best = [np.argsort(-f) for f in found]
             if turn >= 3:
-                top = _sigmoid(np.array([_window_scores(model, docs[i], spans[i]).max() for i in toxic]))
+                top = _sigmoid(np.array([found[i].max() for i in toxic]))
                 trusted = toxic[top >= 0.3] if (top >= 0.3).any() else toxic
         for step in range(_STEPS):
             picked, y = [], []
@@ -378,13 +376,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     return model
 
 
-def _window_scores(model: Model, words: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
-    rows = np.concatenate([model._lookup(words), np.zeros(WINDOW, "i4")])
-    lengths = np.array([b - a for a, b in spans])
-    steps = max(int(lengths.max()), 1)
-    window = rows[np.array([a for a, _ in spans])[:, None] + np.arange(steps)]
-    window[np.arange(steps) >= lengths[:, None]] = 0
-    return model.window_logits(window, np.maximum(lengths, 1))
+def _per_document(model: Model, docs: list[list[str]], at_once: int = 200) -> list[np.ndarray]:
+    """Scores of the windows of each document."""
+    out = []
+    for start in range(0, len(docs), at_once):
+        owner, found = model.all_logits(docs[start:start + at_once])
+        out += np.split(found, np.flatnonzero(np.diff(owner)) + 1)
+    return out
 
 
 # On Spark
