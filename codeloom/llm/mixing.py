@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, counted_broadcast, without
+from codeloom.llm.common import Scratch, counted_broadcast, fresh, without
 
 # Largest mean that is inverted at once, and where the inversion of such a mean ends at the latest.
 PART = 16
@@ -91,13 +91,12 @@ def mix_sources(
     count is 0 is left out. Rows with equal ids are repeated equally often; a null
     id counts as an empty one. An empty table gives no rows.
     """
-    rates = source_rates(docs, weights, source_col, text_col).select(F.col("source").alias("_of"), F.col("rate").alias("_rate"))
     kept = without(docs, ["copy", "n_copies", "rate", "mix_key"])
-    plain = docs.select(*kept)
-    key = lambda: F.col(id_col)
-    joined = plain.join(counted_broadcast(rates), plain[source_col].eqNullSafe(rates["_of"]))
-    counted = joined.select(
-        *(plain[c] for c in kept), F.col("_rate").alias("rate"), poisson_count(F.col("_rate"), seed, key()).alias("n_copies"))
+    plain, key = docs.select(*kept), lambda: F.col(id_col)
+    of, mean = fresh(plain, "of"), fresh(plain, "mean")
+    rates = source_rates(docs, weights, source_col, text_col).select(F.col("source").alias(of), F.col("rate").alias(mean))
+    joined = plain.join(counted_broadcast(rates), F.col(source_col).eqNullSafe(F.col(of)))
+    counted = joined.select(*kept, F.col(mean).alias("rate"), poisson_count(F.col(mean), seed, key()).alias("n_copies"))
     copies = counted.filter("n_copies > 0").select(
         *kept, "rate", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     order = copies.withColumn("mix_key", hashed_unit(F.lit(seed), F.lit("order"), key(), F.col("copy")))
