@@ -178,6 +178,7 @@ def keep_first(
     fp = fresh(docs, "fp")
     marked = scratch.keep(docs.withColumn(fp, fingerprints(F.col(text_col), shingle)))
     groups = _groups(marked.select(F.col(id_col), F.col(fp).alias("fp")), id_col, scratch, radius)
-    keepers = groups.filter(F.col("fp") == F.col("first.fp")).select(F.col("fp").alias("_fp"), F.col("first.id").alias("_id"))
-    kept = marked.join(keepers, marked[fp].eqNullSafe(keepers["_fp"]) & marked[id_col].eqNullSafe(keepers["_id"]))
+    of, first = fresh(marked, "of"), fresh(marked, "first")
+    keepers = groups.filter(F.col("fp") == F.col("first.fp")).select(F.col("fp").alias(of), F.col("first.id").alias(first))
+    kept = marked.join(keepers, (F.col(fp) == F.col(of)) & F.col(id_col).eqNullSafe(F.col(first)))
     return kept.select(*marked.columns).dropDuplicates([id_col, fp]).drop(fp)
