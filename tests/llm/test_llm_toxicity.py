@@ -1,0 +1,179 @@
+"""The toxicity network: gradients, held-out accuracy, odd rows; the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import os
+import pickle
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from codeloom.llm import mixing, packing, simhash_dedup, toxicity
+from codeloom.llm.common import table
+
+FOLDER = "/root/testdata/sf0.001"
+SYLLABLES = "ta ne ri lo mu sa ke do vi pa".split()
+
+
+def corpus(n: int, seed: int) -> tuple[list[str], list[int]]:
+    """Texts of invented words; toxic ones hold some forms of a few stems."""
+    rng, texts, labels = random.Random(seed), [], []
+    word = lambda: "".join(rng.choices(SYLLABLES, k=rng.randint(2, 4)))
+    for i in range(n):
+        words = [word() for _ in range(rng.choice([5, 40, 200]))]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(1 + len(words) // 40):
+                words.insert(rng.randrange(len(words)), rng.choice(["grubx", "Zzyk", "hozzle"]) + rng.choice(["", ".", "s,", "ing", word()]))
+        texts.append(" ".join(words))
+        labels.append(int(toxic))
+    return texts, labels
+
+
+@pytest.fixture(scope="module")
+def model():
+    return toxicity.fit(*corpus(400, 1))
+
+
+def test_held_out_accuracy(model):
+    texts, labels = corpus(400, 2)
+    scores, labels = model.scores(texts), np.array(labels)
+    order = scores.argsort().argsort()
+    auc = (order[labels == 1].mean() - (labels.sum() - 1) / 2) / (labels == 0).sum()
+    assert auc > 0.97
+    assert ((scores >= toxicity.THRESHOLD) == labels).mean() > 0.95
+    assert ((0 <= scores) & (scores <= 1)).all()
+
+
+def test_unseen_forms_of_a_stem(model):
+    clean = "tane rilo musa kedo vipa " * 6
+    assert model.scores([clean + "hozzletodi " + clean])[0] > 0.7 > model.scores([clean])[0]
+
+
+def test_whole_texts_are_scored(model):
+    clean = "tane rilo musa kedo vipa " * 3000
+    low, start, middle, end = model.scores([clean, "grubx " + clean, clean + " grubx " + clean, clean + " grubx"])
+    assert min(start, middle, end) > 0.7 > low
+
+
+def test_score_of_a_text_does_not_depend_on_others(model):
+    texts = corpus(30, 3)[0] + ["", None, " \n", "x" * 5000]
+    alone = [model.scores([t])[0] for t in texts]
+    assert np.allclose(model.scores(texts), alone, atol=1e-4)
+    assert model.scores([""])[0] == model.scores([None])[0] == model.scores([" \n"])[0] < 0.7
+
+
+def test_windows_cover_and_overlap():
+    for n in (0, 1, toxicity.WINDOW, toxicity.WINDOW + 1, 500):
+        spans = toxicity._spans(n)
+        assert spans[0][0] == 0 and spans[-1][1] == n
+        assert all(a < c < b <= d for (a, b), (c, d) in zip(spans, spans[1:]))
+
+
+def test_gradients_are_the_slopes_of_the_loss():
+    texts, labels = corpus(6, 4)
+    windows = [[toxicity._plain(w) for w in t.split()][:n] for t, n in zip(texts, (7, 12, 3, 9, 1, 0))]
+    y = np.array(labels, "f4")
+    model = toxicity._initial({w: i + 1 for i, w in enumerate(sorted({w for win in windows for w in win})[::2])}, 1)
+    model.weights = {k: v.astype("f8") for k, v in model.weights.items()}
+    run = lambda: toxicity._gradients(model, windows, y, np.random.default_rng(0))
+    loss = lambda p: -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+    gradients, _ = run()
+    rng = np.random.default_rng(1)
+    for name, g in gradients.items():
+        w, step = model.weights[name], 1e-2
+        for place in rng.choice(np.flatnonzero(g.ravel()), min(6, np.count_nonzero(g)), replace=False):
+            old = w.ravel()[place]
+            w.ravel()[place] = old + step
+            up = loss(run()[1])
+            w.ravel()[place] = old - step
+            down = loss(run()[1])
+            w.ravel()[place] = old
+            assert abs((up - down) / (2 * step) - g.ravel()[place]) < 2e-4 + 0.05 * abs(g.ravel()[place]), name
+
+
+def test_one_class_or_none():
+    assert toxicity.fit([], []).scores(["a", ""]).tolist() == [0.5, 0.5]
+    assert toxicity.fit(["a b", "c"], [0, 0]).scores(["a"])[0] == 0.25
+
+
+def test_models_travel_without_their_caches(model):
+    again = pickle.loads(pickle.dumps(model))
+    assert again.rows is None and again.scores(["grubx tane"])[0] == model.scores(["grubx tane"])[0]
+
+
+def test_scores_of_odd_tables(spark, model):
+    rows = [(1, "grubx"), (1, "grubx"), (2, None), (None, ""), (3, "tane rilo musa kedo vipa " * 6_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"SCORE": F.lit("x"), "label": F.lit(1)})
+    got = toxicity.score_documents(df, model)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert Counter((r.doc_id, r.held_out, r.predicted) for r in got.collect()) == {
+        (1, zlib.crc32(b"1") % 3 == 1, 1): 2, (2, zlib.crc32(b"2") % 3 == 1, 0): 1, (None, True, 0): 1, (3, zlib.crc32(b"3") % 3 == 1, 0): 1}
+    kept = toxicity.keep_clean(df, model)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == {2: 1, None: 1, 3: 1}
+    assert toxicity.score_documents(df.limit(0), model).count() == toxicity.keep_clean(df.limit(0), model).count() == 0
+
+
+def test_labels_of_the_held_out_third_are_not_learnt(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.update(zip(texts, labels)))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)] + [(5, "text 5"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1), (5, None), (1000, 1), (6, 1)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    assert seen == {f"text {i}": int(i == 6 or i % 2) for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1}
+    seen.clear()
+    toxicity.train(docs, labels, per_class=10)
+    assert Counter(seen.values()) == {0: 10, 1: 10}
+
+
+# The pipeline
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_pipeline_stage_by_stage(spark, monkeypatch):
+    docs = table(spark, FOLDER, "documents")
+    learnt = toxicity.train(docs, table(spark, FOLDER, "labels"))
+    monkeypatch.setattr(toxicity, "train", lambda *a: learnt)
+    rows = {r.doc_id: r for r in docs.collect()}
+    clean = {i: r for i, r in rows.items() if learnt.scores([r.text])[0] < toxicity.THRESHOLD}
+    prints = {i: simhash_dedup.fingerprint(r.text) % 2**64 for i, r in clean.items()}
+    component = {i: i for i in clean}
+    changed = True
+    while changed:
+        changed = False
+        for i in clean:
+            low = min(component[j] for j in clean if (prints[i] ^ prints[j]).bit_count() <= 4)
+            changed, component[i] = changed or low < component[i], min(low, component[i])
+    kept = {i for i in clean if component[i] == i}
+    assert 0 < len(kept) <= len(clean) < len(rows)
+    mixed = Counter({r.doc_id: r.n_copies for r in mixing.mix_sources(docs.filter(F.col("doc_id").isin(*kept))).collect()})
+
+    pieces = corpus_pipeline.run(spark, FOLDER).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == mixed
+    tokens = Counter()
+    for r in pieces:
+        tokens[r.doc_id] += r.length
+    whole = {r.doc_id: r.doc_tokens for r in pieces}
+    assert tokens == {i: n * whole[i] for i, n in mixed.items()}
+    assert {n for n, _ in corpus_pipeline.STAGES} == {"toxicity", "simhash_dedup", "mixing", "packing"}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_stages_take_odd_tables(spark, monkeypatch):
+    learnt = toxicity.fit(*corpus(60, 1))
+    monkeypatch.setattr(toxicity, "train", lambda *a: learnt)
+    docs = table(spark, FOLDER, "documents")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (2, None, None, "a", None)], docs.schema)
+    for rows in (odd, odd.limit(0)):
+        now = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, FOLDER)
+            assert now.columns == docs.columns
+        packing_rows = corpus_pipeline.STAGES[-1][1](spark, now, FOLDER)
+        assert "sequence_id" in packing_rows.columns and packing_rows.count() >= 0
+    assert packing.pack(odd).count() == 4
