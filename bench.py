@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from codeloom.session import build_session
@@ -16,7 +17,7 @@ from workload import QUERIES
 from workload.views import Workspace
 
 HEADLINE = [
-    "d1_extract_imports", "d2_symbol_imports", "d7_resolve_imports", "c4_filter_ignored_defaults", "b3_size",
+    "a1_scan_files", "d1_extract_imports", "d2_symbol_imports", "d7_resolve_imports", "c4_filter_ignored_defaults", "b3_size",
     "f1_build_graph", "f2_update_graph", "f3_graph_stats", "e3_dependents", "e5_match_scopes",
     "k2_top_files_per_repo", "k5_file_context", "k6_path_context",
     "i2_asymmetric_edges", "i7_cycle_members", "i14_validate_map",
@@ -31,7 +32,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = build_session(
         "bench", f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"},
+        **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="codeloom-"), "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()

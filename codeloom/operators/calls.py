@@ -11,15 +11,20 @@ from codeloom.functions import text
 
 
 def call_keys(prompt_log: DataFrame) -> DataFrame:
-    """Level number and task id out of the log's level and purpose texts."""
+    """Level number and task id out of the log's level and purpose texts; a number that is none of an integer's size is 0."""
     level = F.regexp_extract("level", r"(?i)level(\d+)", 1)
     task = F.trim(F.regexp_extract("purpose", r"for:\s*(.+)\z", 1))
     return prompt_log.withColumns({
-        "level_number": F.coalesce(F.nullif(level, F.lit("")).cast("int"), F.lit(0)),
+        "level_number": F.coalesce(F.nullif(level, F.lit("")).try_cast("int"), F.lit(0)),
         "task_id": F.nullif(task, F.lit("")),
     })
 
 
+def logged_calls(prompt_log: DataFrame) -> DataFrame:
+    """A call table out of a prompt log as ``read_call_log`` gives it: what the aggregates by level and task take."""
+    return call_keys(prompt_log).drop("level").withColumnRenamed("level_number", "level")
+
+
 def metric_labels(df: DataFrame) -> DataFrame:
     """Readable columns for duration_ms, latency_ms, cost, tokens and tokens_per_second where present."""
     labels = {
@@ -68,7 +73,7 @@ def level_metrics(calls: DataFrame, prices: dict[str, tuple[float, float]] | Non
     """Tokens, calls, cost and the model of the latest call per level."""
     return calls.groupBy("level").agg(
         *_token_sums(),
-        F.max_by("model", F.struct("started_at", "call_id")).alias("model"),
+        F.max_by("model", F.struct("started_at", *[c for c in ("call_id", "model") if c in calls.columns])).alias("model"),
         F.sum(call_cost(prices)).alias("estimated_cost"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.paths import sort_key
 from codeloom.operators.filters import dir_prefix, match_prefixes
 from codeloom.schemas import Graph
+from codeloom.session import stored
 
 
 def import_entries(annotations: DataFrame) -> DataFrame:
@@ -58,27 +59,45 @@ def degrees(graph: Graph) -> DataFrame:
     )
 
 
-def adjacency(graph: Graph, page_size: int = 100_000) -> DataFrame:
-    """Nested form (repo, path, page, imports, imported_by) with sorted arrays.
+def entries(graph: Graph) -> DataFrame:
+    """Both directions as (repo, path, direction, other)."""
+    return graph.imports.select("repo", "path", F.lit("imports").alias("direction"), F.col("target").alias("other")).unionByName(
+        graph.importers.select("repo", "path", F.lit("imported_by").alias("direction"), F.col("importer").alias("other"))
+    )
+
+
+def listed(graph: Graph) -> DataFrame:
+    """The graph as rows (repo, path, direction, other) in order: ``node`` rows without an ``other``, then the entries.
+
+    The form to store: range-partitioned, so the list of a hub is spread over as
+    many files as it needs.
+    """
+    nodes = graph.nodes.select("repo", "path", F.lit("node").alias("direction"), F.lit(None).cast("string").alias("other"))
+    keys = ["repo", "path", "direction", "other"]
+    return nodes.unionByName(entries(graph)).repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def from_listed(rows: DataFrame) -> Graph:
+    """The graph ``listed`` gave."""
+    of = lambda direction: rows.filter(F.col("direction") == direction)
+    return Graph(
+        of("node").select("repo", "path"), of("imports").select("repo", "path", F.col("other").alias("target")),
+        of("imported_by").select("repo", "path", F.col("other").alias("importer")),
+    )
+
+
+def adjacency(graph: Graph) -> DataFrame:
+    """Nested form (repo, path, imports, imported_by) with sorted arrays, as the JSON documents have it.
 
-    A node has one row, page 0, unless a list of it outgrows ``page_size``
-    entries; then its entries are spread over as many pages as needed, so that
-    no hub has to fit into one row or one task.
+    One row per node with one aggregate over nodes and both kinds of entries. A hub
+    is one row here; ``listed`` is the form without that limit.
     """
-    def paged(entries: DataFrame, value: str) -> DataFrame:
-        # Only nodes above the page size need more than page 0, and there are at
-        # most as many of them as there are full pages.
-        long = entries.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > page_size)
-        page = F.coalesce(F.pmod(F.xxhash64(value), F.ceil(F.col("_n") / page_size)), F.lit(0)).cast("int")
-        return entries.join(long, ["repo", "path"], "left").select("repo", "path", page.alias("page"), value)
-
-    # One aggregate over nodes and both kinds of entries, so one shuffle for the nested rows.
     rows = (
-        graph.nodes.select("repo", "path", F.lit(0).alias("page"))
-        .unionByName(paged(graph.imports, "target"), allowMissingColumns=True)
-        .unionByName(paged(graph.importers, "importer"), allowMissingColumns=True)
+        graph.nodes.select("repo", "path")
+        .unionByName(graph.imports, allowMissingColumns=True)
+        .unionByName(graph.importers, allowMissingColumns=True)
     )
-    return rows.groupBy("repo", "path", "page").agg(
+    return rows.groupBy("repo", "path").agg(
         F.sort_array(F.collect_list("target")).alias("imports"),
         F.sort_array(F.collect_list("importer")).alias("imported_by"),
     )
@@ -100,25 +119,25 @@ def update_graph(graph: Graph, updated: DataFrame, deleted: DataFrame) -> Graph:
     to a file which only now exists are added, so the result equals a rebuild
     from the merged annotations.
     """
-    gone = deleted.select("repo", "path").distinct()
-    new_nodes = updated.select("repo", "path").distinct()
-    touched = gone.unionByName(new_nodes).distinct()
+    gone = stored(deleted.select("repo", "path").distinct(), "gone")
+    new_nodes = stored(updated.select("repo", "path").distinct(), "updated")
+    touched = stored(gone.unionByName(new_nodes).distinct(), "touched")
     nodes = graph.nodes.join(touched, ["repo", "path"], "left_anti").unionByName(new_nodes)
     kept = graph.imports.join(touched, ["repo", "path"], "left_anti").join(_as_target(gone), ["repo", "target"], "left_anti")
     new_imports = import_entries(updated)
     imports = kept.select("repo", "path", "target").unionByName(new_imports)
 
-    appeared = new_nodes.join(graph.nodes, ["repo", "path"], "left_anti")
+    # Entries of nodes that were not there before are built anew, like those of re-annotated importers.
+    appeared = stored(new_nodes.join(graph.nodes, ["repo", "path"], "left_anti"), "appeared")
     as_importer = touched.select("repo", F.col("path").alias("importer"))
-    importers = (
+    unchanged = (
         graph.importers.join(as_importer, ["repo", "importer"], "left_anti")
-        .join(gone, ["repo", "path"], "left_anti")
+        .join(gone.unionByName(appeared), ["repo", "path"], "left_anti")
         .select("repo", "path", "importer")
-        .unionByName(_reverse(new_imports, nodes))
-        .unionByName(_reverse(kept.join(_as_target(appeared), ["repo", "target"], "left_semi"), nodes))
-        .distinct()
     )
-    return Graph(nodes, imports, importers)
+    anew = _reverse(new_imports, nodes).unionByName(
+        kept.join(_as_target(appeared), ["repo", "target"], "left_semi").select("repo", F.col("target").alias("path"), F.col("path").alias("importer")).distinct())
+    return Graph(nodes, imports, unchanged.unionByName(anew))
 
 
 def graph_stats(graph: Graph) -> DataFrame:
@@ -133,20 +152,13 @@ def graph_stats(graph: Graph) -> DataFrame:
     )
 
 
-def _entries(graph: Graph) -> DataFrame:
-    """Both directions as (repo, path, direction, other)."""
-    return graph.imports.select("repo", "path", F.lit("imports").alias("direction"), F.col("target").alias("other")).unionByName(
-        graph.importers.select("repo", "path", F.lit("imported_by").alias("direction"), F.col("importer").alias("other"))
-    )
-
-
 def graph_diff(old: Graph, new: Graph) -> DataFrame:
     """(repo, path, direction, added, removed) for every list that differs.
 
     Lists of a node on both sides compare as sets; a node on one side only
     counts all its entries.
     """
-    sides = _entries(old).withColumn("_side", F.lit(0)).unionByName(_entries(new).withColumn("_side", F.lit(1)))
+    sides = entries(old).withColumn("_side", F.lit(0)).unionByName(entries(new).withColumn("_side", F.lit(1)))
     counts = sides.groupBy("repo", "path", "direction", "other").agg(
         F.count_if(F.col("_side") == 0).alias("_old"),
         F.count_if(F.col("_side") == 1).alias("_new"),
@@ -170,7 +182,7 @@ def edges_updated(old: Graph, new: Graph) -> DataFrame:
 def broken_references(graph: Graph, deleted: DataFrame) -> DataFrame:
     """(repo, path, direction, other): entries of either direction that name a deleted file."""
     gone = deleted.select("repo", F.col("path").alias("other")).distinct()
-    return _entries(graph).join(gone, ["repo", "other"], "left_semi").select("repo", "path", "direction", "other")
+    return entries(graph).join(gone, ["repo", "other"], "left_semi").select("repo", "path", "direction", "other")
 
 
 def dependencies(queries: DataFrame, graph: Graph, annotations: DataFrame) -> DataFrame:

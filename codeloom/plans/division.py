@@ -17,8 +17,10 @@ def _plans(plan_tasks: DataFrame, file_counts: DataFrame) -> DataFrame:
         size("small").alias("small"),
         size("medium").alias("medium"),
         size("large").alias("large"),
-        F.first("execution").alias("execution"),
-        F.first("estimated_total_minutes").alias("minutes"),
+        # Stated once per plan; the rows of a plan that differ are a violation of their own.
+        F.min("execution").alias("execution"),
+        F.min("estimated_total_minutes").alias("minutes"),
+        (F.min("execution").eqNullSafe(F.max("execution")) & F.min("estimated_total_minutes").eqNullSafe(F.max("estimated_total_minutes"))).alias("uniform"),
     )
     return plans.join(file_counts, "plan_id")
 
@@ -30,13 +32,15 @@ def check_plan(plan_tasks: DataFrame, file_counts: DataFrame) -> DataFrame:
 
     n, total = F.col("estimated_files"), F.col("total_files")
     plans = _plans(plan_tasks, file_counts)
-    deviation = F.abs(F.col("estimated") - total) / total * 100
+    deviation = F.try_divide(F.abs(F.col("estimated") - total), total) * 100
     scopes = plan_tasks.groupBy("plan_id", "scope").agg(F.count(F.lit(1)).alias("_n"))
-    per_file = F.col("minutes") / total
+    per_file = F.try_divide(F.col("minutes"), total)
     return (
         rows(plan_tasks.filter(n > C.MAX_FILES_PER_TASK), "error", "too_many_files", F.col("scope"))
         .unionByName(rows(plan_tasks.filter(n < 1), "error", "no_files", F.col("scope")))
         .unionByName(rows(plans.filter(deviation > C.MAX_DEVIATION_PERCENT), "error", "file_total_deviates", F.format_string("%.1f", deviation)))
+        .unionByName(rows(plans.filter(total < 1), "error", "no_files_in_repository", total))
+        .unionByName(rows(plans.filter(~F.col("uniform")), "error", "rows_differ", F.lit("execution or minutes")))
         .unionByName(rows(scopes.filter(F.col("_n") > 1), "error", "duplicate_scope", F.col("scope")))
         .unionByName(rows(plans.filter(~F.col("execution").isin("parallel", "sequential")), "error", "invalid_execution", F.col("execution")))
         .unionByName(rows(plans.filter(F.col("minutes") < 1), "error", "invalid_minutes", F.col("minutes").cast("bigint")))

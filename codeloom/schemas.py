@@ -62,7 +62,7 @@ class Graph(NamedTuple):
     importers  (repo, path, importer)  the reverse lists, one row per entry
 
     Flat rows keep a hub that half the corpus imports from becoming one huge
-    array; ``operators.graph.adjacency`` gives the nested form in pages.
+    array; ``operators.graph.listed`` is the form to store, ``adjacency`` the nested one.
     """
 
     nodes: DataFrame

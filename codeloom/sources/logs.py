@@ -44,12 +44,24 @@ def count_jsonl(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).filter(F.trim("value") != "").count()
 
 
+def count_jsonl_by_repo(spark: SparkSession, base: str) -> DataFrame:
+    """(repo, lines) for files in folders ``repo=<name>`` below one location, counted like ``count_jsonl``."""
+    rows = spark.read.schema("value string, repo string").text(base).filter(F.trim("value") != "")
+    return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def read_change_log(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
     """(repo, line) of a change log; without ``repo`` the name of each file names the repository."""
     name = F.lit(repo) if repo else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     return spark.read.text(path).select(name.alias("repo"), F.col("value").alias("line")).filter(F.trim("line") != "")
 
 
+def read_change_logs(spark: SparkSession, base: str) -> DataFrame:
+    """(repo, line) of the change logs of many repositories, in folders ``repo=<name>`` below one location: one scan."""
+    rows = spark.read.schema("value string, repo string").text(base)
+    return rows.select("repo", F.col("value").alias("line")).filter(F.trim("line") != "")
+
+
 def read_call_log(spark: SparkSession, path: str) -> DataFrame:
     """Prompt log rows; optional fields are NULL where a line lacks them."""
     return spark.read.schema(CALL_LOG).json(path).withColumnsRenamed({

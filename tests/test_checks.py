@@ -6,6 +6,7 @@ import pytest
 
 from codeloom.operators import checks, cycles, repair
 from codeloom.operators.graph import build_graph
+from codeloom.schemas import Graph
 from conftest import rows
 
 PATHS = "repo string, path string"
@@ -54,7 +55,6 @@ def test_no_exports(notes, paths):
     assert rows(checks.no_exports(files, paths("main")), "file") == [("a",)]
 
 
-@pytest.mark.parametrize("limit", [200_000, 0], ids=["grouped", "rounds"])
 @pytest.mark.parametrize("edges, groups", [
     ([("a", "b"), ("b", "a")], [{"a", "b"}]),
     ([("a", "b"), ("b", "c"), ("c", "a")], [{"a", "b", "c"}]),
@@ -63,11 +63,11 @@ def test_no_exports(notes, paths):
     ([("a", "a"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "x")], [{"a", "b"}, {"c", "d"}]),
     ([], []),
 ])
-def test_cycles(notes, edges, groups, limit):
+def test_cycles(notes, edges, groups):
     names = sorted({n for e in edges for n in e} | {"z"})
     g = build_graph(notes(*[(n, [d for s, d in edges if s == n]) for n in names]))
     found: dict[str, set[str]] = {}
-    for r in cycles.cycle_members(g, max_group_edges=limit).collect():
+    for r in cycles.cycle_members(g).collect():
         found.setdefault(r.cycle, set()).add(r.path)
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, groups))
     assert all(cycle == min(members) for cycle, members in found.items())
@@ -76,11 +76,10 @@ def test_cycles(notes, edges, groups, limit):
 def test_cycle_message(notes):
     row = cycles.circular_dependencies(build_graph(notes(("src/b", ["src/a"]), ("src/a", ["src/b"])))).first()
     assert (row.severity, row.type, row.file) == ("info", "circular_dependency", "src/a")
-    assert row.message == "Circular dependency detected: src/a -> src/b -> src/a"
+    assert row.message == "Circular dependency detected: 2 files, first src/a"
 
 
-@pytest.mark.parametrize("limit", [200_000, 0], ids=["grouped", "rounds"])
-def test_cycles_match_brute_force(table, notes, limit):
+def test_cycles_match_brute_force(table, notes):
     rng = random.Random(7)
     names = [f"n{i:02d}" for i in range(40)]
     pairs = {(rng.choice(names), rng.choice(names)) for _ in range(55)}
@@ -89,7 +88,19 @@ def test_cycles_match_brute_force(table, notes, limit):
         reach = {n: reach[n] | {x for m in reach[n] for x in reach[m]} for n in names}
     want = {(min(m for m in names if m in reach[n] and n in reach[m]), n) for n in names if n in reach[n]}
     g = build_graph(notes(*[(n, sorted(d for s, d in pairs if s == n)) for n in names]))
-    assert {(r.cycle, r.path) for r in cycles.cycle_members(g, max_group_edges=limit).collect()} == want
+    assert {(r.cycle, r.path) for r in cycles.cycle_members(g).collect()} == want
+
+
+def test_long_cycles(spark, table):
+    """A ring, a two-way chain and a tail of hundreds of files each, in two repositories."""
+    name = lambda i: f"n{i:04d}"
+    ring = [(name(i), name((i + 1) % 300)) for i in range(300)]
+    chain = [p for i in range(400, 700) for p in ((name(i), name(i + 1)), (name(i + 1), name(i)))]
+    tail = [(name(i), name(i + 1)) for i in range(800, 1100)]
+    imports = table([(r, a, b) for r in ("r", "s") for a, b in ring + chain + tail], "repo string, path string, target string")
+    g = Graph(imports.select("repo", "path"), imports, imports)
+    want = {(r, name(0), name(i)) for r in ("r", "s") for i in range(300)} | {(r, name(400), name(i)) for r in ("r", "s") for i in range(400, 701)}
+    assert {tuple(x) for x in cycles.cycle_members(g).collect()} == want
 
 
 def test_repairs(notes, graph_of, paths):

@@ -1,0 +1,66 @@
+from __future__ import annotations
+
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from codeloom import session
+from codeloom.operators import calls, cycles
+from codeloom.operators.graph import build_graph
+from codeloom.plans import division
+from conftest import rows
+
+ROOT = Path(__file__).resolve().parents[1]
+
+
+def test_executors_get_the_package(tmp_path):
+    """An Arrow function runs from a folder and an environment that know nothing of the package."""
+    script = tmp_path / "job.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from codeloom.session import build_session
+from codeloom.operators import symbols
+spark = build_session("far", "local[2]", **{{"spark.checkpoint.dir": {str(tmp_path / "shared")!r}, "spark.ui.enabled": "false"}})
+files = spark.createDataFrame([("r", "a.ts", "TypeScript", "import './b'")], "repo string, path string, language string, content string")
+print("FOUND", [r.source for r in symbols.symbol_imports(files).collect()])
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "FOUND ['./b']" in done.stdout, done.stderr[-2000:]
+
+
+def left(spark):
+    folder = Path(session.shared_dir(spark).removeprefix("file:"))
+    return {p.name for p in folder.iterdir() if p.name.startswith("codeloom-")}
+
+
+def test_scratch_tables_go_with_their_scope(spark, notes):
+    before = left(spark)
+    with session.scratch_scope(spark):
+        found = cycles.cycle_members(build_graph(notes(("a", ["b"]), ("b", ["a", "c"]), ("c", ["d"]), ("d", ["c"])))).collect()
+        assert left(spark) > before
+    assert len(found) == 4 and left(spark) == before
+
+
+def test_shared_folder_is_needed(spark, monkeypatch):
+    class Bare:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getConf": staticmethod(lambda: type("C", (), {"get": staticmethod(lambda *a: None)})), "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Bare)
+
+
+def test_bad_rows_are_rows(table):
+    plan = table([("p", "a/", "small", 3, "parallel", 5.0), ("q", "a/", "small", 3, "parallel", 5.0), ("q", "b/", "small", 3, "sequential", 5.0)],
+                 "plan_id string, scope string, agent_size string, estimated_files int, execution string, estimated_total_minutes double")
+    counts = table([("p", 0), ("q", 6)], "plan_id string, total_files long")
+    assert rows(division.check_plan(plan, counts), "plan_id", "rule") == [("p", "no_files_in_repository"), ("q", "rows_differ")]
+    log = table([("level99999999999", "x"), ("Level2 run", "for: t")], "level string, purpose string")
+    assert rows(calls.call_keys(log), "level_number") == [(0,), (2,)]
+    assert [f.name for f in calls.logged_calls(log.withColumn("model", F.lit("m"))).schema if f.name == "level"] == ["level"]

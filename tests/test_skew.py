@@ -5,8 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import checks, graph
-from codeloom.schemas import Graph
+from codeloom.operators import checks, graph, joins
 
 
 @pytest.fixture
@@ -53,11 +52,28 @@ def test_edges_of_a_hot_target_are_split(skewed):
     assert sum(r.resolved for r in rows) == 40_000 - 1
 
 
-def test_degrees_and_pages_of_a_hub(spark, skewed):
+def test_degrees_and_stored_form_of_a_hub(spark, skewed):
     files = skewed.unionByName(skewed.limit(1).withColumns({"path": F.lit("src/hub"), "imports": F.array().cast("array<string>")}))
     g = graph.build_graph(files)
     top = graph.degrees(g).orderBy(F.desc("imported_by_count")).first()
     assert (top.path, top.imported_by_count) == ("src/hub", 20_000)
-    pages = graph.adjacency(Graph(g.nodes, g.imports, g.importers), page_size=1000).filter("path = 'src/hub'")
-    sizes = [r.n for r in pages.select(F.size("imported_by").alias("n")).collect()]
-    assert sum(sizes) == 20_000 and len(sizes) >= 20 and max(sizes) < 2000
+    parts = [p for p in graph.listed(g).rdd.mapPartitions(lambda p: [sum(r.path == "src/hub" for r in p)]).collect() if p]
+    assert sum(parts) == 20_001 and len(parts) > 1 and max(parts) < 20_000
+
+
+def test_scopes_that_end_alike_meet_only_what_they_match(spark, skewed):
+    """A third of the scopes end like a third of the paths; candidates stay close to the matches."""
+    n = F.col("id")
+    paths = spark.range(0, 6000, 1, 8).select(F.lit("r").alias("repo"), F.concat(F.lit("src/m"), n.cast("string"), F.when(n % 3 == 0, "/index.ts").otherwise("/x.ts")).alias("path"))
+    tasks = spark.range(300).select(F.lit("r").alias("repo"), n.alias("task_id"), F.concat(F.lit("m"), (n + 1000).cast("string"), F.when(n % 3 == 0, "/index.ts").otherwise("/x")).alias("scope"))
+    got = joins.match_scopes(tasks, paths)
+    plan, rows = final_plan(got)
+    want = {(t, p) for t, s in ((r.task_id, r.scope) for r in tasks.collect()) for p in ((r.path) for r in paths.collect()) if s in p}
+    assert {(r.task_id, r.path) for r in rows} == want
+
+
+def test_blank_scopes_name_no_files(spark):
+    tasks = spark.createDataFrame([("r", 1, ""), ("r", 2, None), ("r", 3, "a")], "repo string, task_id int, scope string")
+    files = spark.createDataFrame([("r", "a.ts")], "repo string, path string")
+    assert [(r.task_id, r.path) for r in joins.match_scopes(tasks, files).collect()] == [(3, "a.ts")]
+    assert sorted(r.task_id for r in joins.blank_scopes(tasks).collect()) == [1, 2]

@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.operators import calls
+from codeloom.session import scratch_path
+from codeloom.sources import logs
 from codeloom.streaming import streams
 from workload.q_files import COST, PRICES
 from workload.registry import query
 
+def append_in_time(log, folder: str, parts: int) -> None:
+    """The log as files of one equal span of time each, in the order of time."""
+    first, last = log.agg(F.min("started_at"), F.max("started_at")).first()
+    cuts = [first + (last - first) / parts * i for i in range(1, parts)]
+    at = F.col("started_at")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = log.filter((at >= F.lit(low) if low else F.lit(True)) & (at < F.lit(high) if high else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+
 _SUMS = """count(*) as call_count, cast(sum(input_tokens) as bigint) as total_input_tokens, cast(sum(output_tokens) as bigint) as total_output_tokens,
     cast(sum(latency_ms) as bigint) as total_latency_ms"""
 _SPEED = "round(case when sum(latency_ms) > 0 then sum(output_tokens) / sum(latency_ms) * 1000 else 0 end, 6) as avg_tokens_per_second"
@@ -21,6 +33,19 @@ def level_metrics(w):
     return calls.level_metrics(w.view("v_calls"), PRICES).withColumn("estimated_cost", F.round("estimated_cost", 6))
 
 
+@query("g9_levels_of_a_log", """
+    select cast(level as integer) as level, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) filter (output_tokens > 50) as bigint) as output_tokens, count(*) as api_calls,
+        arg_max(model, (started_at, model)) as model, 0.0::double as estimated_cost from v_calls group by level""")
+def levels_of_log(w):
+    """From the log file by its keys to the metrics, without any column the log does not have."""
+    base = scratch_path(w.spark, "log")
+    w.view("v_calls").select(
+        F.col("started_at").cast("timestamp").alias("timestamp"), F.concat(F.lit("Level"), F.col("level").cast("string"), F.lit(" run")).alias("level"), "model",
+        F.concat(F.lit("File annotation for: "), "task_id").alias("purpose"), F.col("input_tokens").alias("inputTokens"),
+        F.when(F.col("output_tokens") > 50, F.col("output_tokens")).alias("outputTokens")).write.json(base)
+    return calls.level_metrics(calls.logged_calls(logs.read_call_log(w.spark, base)), {})
+
+
 @query("g9_run_totals", """
     select cast(sum(input_tokens) as bigint) as total_input_tokens, cast(sum(output_tokens) as bigint) as total_output_tokens,
         cast(sum(api_calls) as bigint) as total_api_calls, round(sum(estimated_cost), 6) as total_estimated_cost from levels""", _LEVELS)
@@ -87,3 +112,18 @@ def windows(w):
 def rate_windows(w):
     out = streams.rate_windows(w.view("v_calls"), requests_per_minute=2, tokens_per_minute=1000)
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("l4_stream_rate_windows", """
+    select window_start, model, count(*) as requests, cast(sum(input_tokens) as bigint) as tokens, count(*) > 2 as over_requests, sum(input_tokens) > 1000 as over_tokens
+    from (select model, input_tokens, unnest(range(6)) as i, time_bucket(interval '10 seconds', started_at) - to_seconds(i * 10) as window_start from v_calls)
+    where window_start + interval '1 minute' <= (select max(started_at) - interval '10 minutes' from v_calls) group by 1, 2""")
+def stream_rate_windows(w):
+    """The audit as a stream over several batches in the order of time: windows the watermark has closed."""
+    source, out, state = (scratch_path(w.spark, name) for name in ("rated", "rates", "state"))
+    log = w.view("v_calls")
+    append_in_time(log, source, 4)
+    arriving = w.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rated = streams.rate_windows(arriving, requests_per_minute=2, tokens_per_minute=1000)
+    streams.stream_to_table(rated, out, state).awaitTermination()
+    return w.spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

@@ -18,13 +18,13 @@ _ASYMMETRIC = """select e.repo, 'error' as severity, case when n.path is null th
         case when n.path is null then concat('Graph references "', e.dst, '" which doesn''t exist in graph')
             else concat('Imports "', e.dst, '" but "', e.dst, '" doesn''t list it in imported_by') end as message
     from fwd e left join nodes n on n.repo = e.repo and n.path = e.dst
-    where not exists (select 1 from rev r where r.repo = e.repo and r.path = e.dst and r.importer = e.src)
+    left join rev r on r.repo = e.repo and r.path = e.dst and r.importer = e.src where r.path is null
     union all
     select r.repo, 'error', case when n.path is null then 'broken_graph_reference' else 'asymmetric_graph' end, r.path,
         case when n.path is null then concat('Graph lists "', r.importer, '" in imported_by but it doesn''t exist in graph')
             else concat('Listed in "', r.importer, '" imported_by but "', r.importer, '" doesn''t import it') end
     from rev r left join nodes n on n.repo = r.repo and n.path = r.importer
-    where not exists (select 1 from fwd e where e.repo = r.repo and e.src = r.importer and e.dst = r.path)"""
+    left join fwd e on e.repo = r.repo and e.src = r.importer and e.dst = r.path where e.src is null"""
 _DELETED = """select f.repo, 'error' as severity, 'deleted_file' as type, f.path as file, 'File in map but doesn''t exist on disk' as message
     from files f left join listed l on l.repo = f.repo and l.path = f.path where l.path is null"""
 _MISMATCH = """select n.repo, 'error' as severity, 'graph_annotation_mismatch' as type, n.path as file, 'File exists in graph but not in annotations' as message
@@ -51,7 +51,7 @@ _REACH = """heads as (select distinct repo, src as path from fwd),
         union select r.repo, r.a, e.dst from reach r join inner_edges e on e.repo = r.repo and e.src = r.b),
     cycles as (select x.repo, x.a as path, min(x.b) as cycle from reach x join reach y on x.repo = y.repo and x.a = y.b and x.b = y.a group by all)"""
 _CYCLES = """select repo, 'info' as severity, 'circular_dependency' as type, cycle as file, concat('Circular dependency detected: ',
-        case when count(*) <= 20 then concat(string_agg(path, ' -> ' order by path), ' -> ', cycle) else concat(cast(count(*) as varchar), ' files, first ', cycle) end) as message
+        cast(count(*) as varchar), ' files, first ', cycle) as message
     from cycles group by repo, cycle"""
 
 _FILES = "files as (select repo, path, case when export_list = '' then 0 else 1 end as n_exports from v_files)"
@@ -142,6 +142,17 @@ def circular(w):
     return checks.circular_dependencies(w.stale_graph())
 
 
+# Every order of a nation imports the next one, the last one the first: one cycle of all its files.
+_RING = """select repo, path as src, coalesce(lead(path) over (partition by repo order by order_id), first_value(path) over (partition by repo order by order_id)) as dst from v_order"""
+
+
+@query("i7_large_cycles", "select repo, min(path) over (partition by repo) as cycle, path from v_order")
+def large_cycles(w):
+    ring = w.sql(_RING)
+    imports = ring.select("repo", F.col("src").alias("path"), F.col("dst").alias("target"))
+    return cycles.cycle_members(Graph(imports.select("repo", "path"), imports, imports.limit(0).withColumnRenamed("target", "importer")))
+
+
 @query("i8_no_exports", _SILENT, STALE)
 def silent(w):
     return checks.no_exports(w.annotations(), w.view("v_entry"))

@@ -89,7 +89,7 @@ def classify(w):
 
 
 @query("b9_call_keys", """
-    select event_id, case when level like 'Level%' then cast(substr(level, 6, 1) as int) else 0 end as level_number,
+    select event_id, case when level like 'Level99%' then 0 when level like 'Level%' then cast(substr(level, 6, 1) as int) else 0 end as level_number,
         case when contains(purpose, 'for:') then trim(substr(purpose, 22)) end as task_id from v_call_log""")
 def call_keys(w):
     return calls.call_keys(w.view("v_call_log")).select("event_id", "level_number", "task_id")
@@ -264,6 +264,16 @@ def symbol_exports(w):
     return symbols.symbol_exports(w.view("v_part_source")).select("repo", "path", "symbol", "kind")
 
 
+@query("d3_symbol_exports_tricky", "select repo, path, concat(unnest(['m', 'f', 'a', 'd', 'g', 'h']), k) as symbol, 'variable' as kind from v_tricky_source")
+def tricky_exports(w):
+    return symbols.symbol_exports(w.view("v_tricky_source")).select("repo", "path", "symbol", "kind")
+
+
+@query("d2_symbol_imports_tricky", "select repo, path, concat(unnest(['./a', './z']), k) as source, unnest([6, 7])::int as line from v_tricky_source")
+def tricky_imports(w):
+    return symbols.symbol_imports(w.view("v_tricky_source")).select("repo", "path", "source", "line")
+
+
 @query("d4_re_exports", """
     select repo, path, concat('y', k) as symbol, './base' as source from v_part_source
     union all select repo, path, '*', './all' from v_part_source""")
@@ -274,9 +284,17 @@ def re_exports(w):
 @query("d5_register_extractor", r"""
     select repo, path, len(list_distinct(regexp_extract_all(text, '([0-9]+)', 1))) as sources from v_text""")
 def registered(w):
-    imports.register_extractor("Numbers", ["([0-9]+)"])
     rows = contents(w).withColumn("language", F.lit("Numbers"))
-    return imports.extract_imports(rows).select("repo", "path", F.size("raw_imports").cast("bigint").alias("sources"))
+    found = imports.extract_imports(rows, imports.with_extractor("Numbers", ["([0-9]+)"]))
+    return found.select("repo", "path", F.size("raw_imports").cast("bigint").alias("sources"))
+
+
+@query("d5_own_patterns_for_scripts", r"""
+    select repo, path, len(list_distinct(regexp_extract_all(text, '([0-9]+)', 1))) as sources from v_text""")
+def own_patterns(w):
+    rows = contents(w).withColumn("language", F.lit("TypeScript"))
+    found = symbols.raw_imports(rows, imports.with_extractor("TypeScript", ["([0-9]+)"]))
+    return found.select("repo", "path", F.size("raw_imports").cast("bigint").alias("sources"))
 
 
 _RAW = """case when dst = '~fs' then 'node:fs' when dst like 'lib/%' then concat('../../', dst) when dst = 'src/types.ts' then '@scope/types'
@@ -332,10 +350,13 @@ def parse(w):
 
 
 def _answered(w: Workspace):
-    files = w.view("v_responses").select(
+    files = w.view("v_responses").filter("part_id % 10 <> 3").select(
         "repo", "path", F.lit("TypeScript").alias("language"), F.lit(1).cast("bigint").alias("size_bytes"), "line_count",
         F.when(F.col("kind") == "bare", F.array(F.lit("./b.ts"), F.lit("fs"))).alias("raw_imports"))
-    return responses.annotations_from_responses(files, w.view("v_responses").select("repo", "path", "response"))
+    # Some answers name no file, some come twice, the second one with other exports.
+    again = w.view("v_responses").filter("part_id % 10 = 4 and kind = 'fenced'").withColumn("response", F.replace("response", F.lit('"exports": ["'), F.lit('"exports": ["~')))
+    answers = w.view("v_responses").unionByName(again).select("repo", "path", "response")
+    return files, *responses.annotations_from_responses(files, answers)
 
 
 @query("d11_annotations_from_responses", """
@@ -343,18 +364,25 @@ def _answered(w: Workspace):
             when 'long' then concat(substr(repeat('word ', 50), 1, 197), '...') else p_name end as purpose,
         case kind when 'fenced' then p_brand when 'bare' then concat(p_brand, '|b') else '' end as exports,
         case kind when 'newline' then 'lib/a' when 'bare' then 'lib/b' else '' end as imports
-    from v_responses where kind in ('newline', 'long', 'fenced', 'bare')""")
+    from v_responses where kind in ('newline', 'long', 'fenced', 'bare') and part_id % 10 <> 3""")
 def annotations(w):
-    return _answered(w)[0].select(
+    return _answered(w)[1].select(
         "repo", "path", "language", "line_count", "purpose", F.array_join("exports", "|").alias("exports"), F.array_join("imports", "|").alias("imports"))
 
 
 @query("d11_rejected_responses", """
-    select repo, path, case kind when 'prose' then 'Failed to parse JSON response' when 'no_exports' then 'Field "exports" must be an array'
-        when 'mixed' then 'All exports must be strings' else 'Field "purpose" must be a non-empty string' end as reason
-    from v_responses where kind in ('prose', 'number', 'no_exports', 'mixed', 'blank')""")
+    select repo, path, case when kind = 'prose' then 'Failed to parse JSON response' when part_id % 10 = 3 then 'No such file'
+        when kind = 'no_exports' then 'Field "exports" must be an array' when kind = 'mixed' then 'All exports must be strings' else 'Field "purpose" must be a non-empty string' end as reason
+    from v_responses where part_id % 10 = 3 or kind in ('prose', 'number', 'no_exports', 'mixed', 'blank')
+    union all select repo, path, 'File answered before' from v_responses where part_id % 10 = 4 and kind = 'fenced'""")
 def rejected_annotations(w):
-    return _answered(w)[1].select("repo", "path", "reason")
+    return _answered(w)[2].select("repo", "path", "reason")
+
+
+@query("d11_unanswered_files", "select repo, path from v_responses where part_id % 10 <> 3 and kind not in ('newline', 'long', 'fenced', 'bare')")
+def unanswered(w):
+    files, accepted, _ = _answered(w)
+    return responses.unanswered_files(files, accepted)
 
 
 @query("d12_structure_from_responses", """

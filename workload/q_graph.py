@@ -108,7 +108,7 @@ def _updated(w: Workspace):
     left join (select repo, src, count(*) as n from kept group by all) k on k.repo = m.repo and k.src = m.path""", f"""{MERGED},
     kept as (select * from ue union all select e.* from v_edges e where not exists (select 1 from u where u.repo = e.repo and u.path = e.src))""")
 def merge(w):
-    merged = joins.merge_annotations(w.annotations(), updated(w), w.view("v_gone"))
+    merged = joins.merge_annotations(w.annotations(), updated(w), w.gone())
     return merged.select("repo", "path", "line_count", F.size("imports").cast("bigint").alias("imports"))
 
 
@@ -118,22 +118,31 @@ def merge(w):
         - (select count(*) from u where u.repo = n_name) as files_kept from nation""", MERGED)
 def merge_counts(w):
     new = updated(w)
-    return joins.merge_counts(w.files(), new, new, w.view("v_gone"))
+    return joins.merge_counts(w.files(), new, new, w.gone())
 
 
-@query("f1_build_graph", """
+LISTED = """select repo, path, 'node' as direction, cast(null as varchar) as other from v_files
+    union all select repo, src, 'imports', dst from v_edges union all select repo, path, 'imported_by', importer from reverse"""
+
+
+@query("f1_build_graph", LISTED, CLEAN)
+def build(w):
+    return G.listed(G.build_graph(w.annotations()))
+
+
+@query("f1_adjacency", """
     select f.repo, f.path, coalesce(i.l, '') as imports, coalesce(r.l, '') as imported_by from v_files f
     left join (select repo, src, string_agg(dst, '|' order by dst) as l from v_edges group by all) i on i.repo = f.repo and i.src = f.path
     left join (select repo, path, string_agg(importer, '|' order by importer) as l from reverse group by all) r on r.repo = f.repo and r.path = f.path""", CLEAN)
-def build(w):
-    return G.adjacency(G.build_graph(w.annotations())).select("repo", "path", F.array_join("imports", "|").alias("imports"), F.array_join("imported_by", "|").alias("imported_by"))
+def nested(w):
+    return G.adjacency(w.graph()).select("repo", "path", F.array_join("imports", "|").alias("imports"), F.array_join("imported_by", "|").alias("imported_by"))
 
 
 @query("f2_update_graph", """
     select repo, src as path, 'imports' as direction, dst as other from merged_edges
     union all select distinct e.repo, e.dst, 'imported_by', e.src from merged_edges e join merged m on m.repo = e.repo and m.path = e.dst""", MERGED)
 def update(w):
-    return G._entries(G.update_graph(w.graph(), updated(w), w.view("v_gone")))
+    return G.entries(G.update_graph(w.graph(), updated(w), w.gone()))
 
 
 @query("f3_graph_stats", """
@@ -154,14 +163,26 @@ def stats(w):
         union all select e.repo, e.dst, 'imported_by', e.src from merged_edges e join merged m on m.repo = e.repo and m.path = e.dst)""")
 def diff(w):
     old = w.graph()
-    return G.graph_diff(old, G.update_graph(old, updated(w), w.view("v_gone")))
+    return G.graph_diff(old, G.update_graph(old, updated(w), w.gone()))
+
+
+@query("f4_edges_updated", """
+    select coalesce(a.repo, b.repo) as repo, count(*) as edges_updated
+    from old_entries a full join new_entries b on a.repo = b.repo and a.path = b.path and a.direction = b.direction and a.other = b.other
+    where a.path is null or b.path is null group by all""", f"""{MERGED}, {CLEAN},
+    old_entries as (select repo, src as path, 'imports' as direction, dst as other from v_edges union all select repo, path, 'imported_by', importer from reverse),
+    new_entries as (select repo, src as path, 'imports' as direction, dst as other from merged_edges
+        union all select e.repo, e.dst, 'imported_by', e.src from merged_edges e join merged m on m.repo = e.repo and m.path = e.dst)""")
+def edges_changed(w):
+    old = w.graph()
+    return G.edges_updated(old, G.update_graph(old, updated(w), w.gone())).withColumn("edges_updated", F.col("edges_updated").cast("bigint"))
 
 
 @query("f5_broken_references", """
     select e.repo, e.src as path, 'imports' as direction, e.dst as other from v_edges e join v_gone g on g.repo = e.repo and g.path = e.dst
     union all select r.repo, r.path, 'imported_by', r.importer from reverse r join v_gone g on g.repo = r.repo and g.path = r.importer""", CLEAN)
 def broken(w):
-    return G.broken_references(w.graph(), w.view("v_gone"))
+    return G.broken_references(w.graph(), w.gone())
 
 
 @query("k1_rank_files", "select repo, path, import_count, imported_by_count, import_count + imported_by_count as connectivity, score from scored", DEGREES)

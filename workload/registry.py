@@ -17,7 +17,7 @@ def query(name: str, select: str | None = None, ctes: str = ""):
     def register(function: Callable[[Workspace], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: function(Workspace(spark, sf_dir))
         if select is not None:
-            ORACLES[name] = in_duckdb(with_views(select, ctes))
+            ORACLES[name] = in_duckdb(with_views(select, ctes, "materialized "))
         return function
 
     return register

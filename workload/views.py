@@ -108,6 +108,16 @@ VIEWS = {
             'export { make as make', cast(p_partkey as varchar(20)), ' };', chr(10), 'export { x as y', cast(p_partkey as varchar(20)), ' } from "./base";', chr(10),
             'export * from "./all";', chr(10), 'export default p', cast(p_partkey as varchar(20)), ';') as content
         from part""",
+    # Statements that are easily misread: type arguments, declarations without semicolons, regular expressions with quotes in them.
+    "v_tricky_source": """
+        select p_type as repo, concat('lib/q', cast(p_partkey as varchar(20)), '.ts') as path, 'TypeScript' as language, cast(p_partkey as varchar(20)) as k,
+            concat('export const m', cast(p_partkey as varchar(20)), ': Map<string, number> = new Map();', chr(10),
+            'export const f', cast(p_partkey as varchar(20)), ' = <T, U>(a: T, b: U) => a;', chr(10),
+            'export const a', cast(p_partkey as varchar(20)), ' = 1', chr(10), 'type P = Map<string, number>', chr(10),
+            'const r = /', chr(96), '/g;', chr(10), 'import a from ', chr(39), './a', cast(p_partkey as varchar(20)), chr(39), chr(10),
+            's.replace(/', chr(39), '/g, ""); const z = require(', chr(39), './z', cast(p_partkey as varchar(20)), chr(39), ')', chr(10),
+            'export const { d', cast(p_partkey as varchar(20)), ', e: [g', cast(p_partkey as varchar(20)), '] } = x, h', cast(p_partkey as varchar(20)), ' = y / 2', chr(10)) as content
+        from part""",
     "v_calls": """
         select event_id as call_id, ts as started_at, user_id % 3 + 1 as level, concat('task', cast(user_id as varchar(20))) as task_id,
             case when event_type in ('click', 'view') then 'model-a' else 'model-b' end as model,
@@ -115,7 +125,7 @@ VIEWS = {
             cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as output_tokens
         from events""",
     "v_call_log": """
-        select event_id, case when event_type = 'error' then 'setup' else concat('Level', cast(user_id % 3 + 1 as varchar(20)), ' run') end as level,
+        select event_id, case when event_type = 'error' then 'setup' when event_id % 50 = 7 then 'Level99999999999 run' else concat('Level', cast(user_id % 3 + 1 as varchar(20)), ' run') end as level,
             case when event_type in ('click', 'view') then concat('File annotation for: src/u', cast(user_id as varchar(20)), '.ts ')
             else 'Structure detection' end as purpose
         from events""",
@@ -194,8 +204,11 @@ def in_spark(sql: str) -> str:
     return _JOIN.sub(lambda m: f"listagg({m[1].strip()}, {m[2].strip()}) within group (order by {m[3].strip()}) as ", sql)
 
 
-def with_views(select: str, ctes: str = "") -> str:
-    """The statement with the common table expressions of all views it mentions, directly or not."""
+def with_views(select: str, ctes: str = "", kept: str = "") -> str:
+    """The statement with the common table expressions of all views it mentions, directly or not.
+
+    ``kept`` is the word that has DuckDB derive each of them once.
+    """
     needed: list[str] = []
 
     def need(text: str) -> None:
@@ -205,9 +218,9 @@ def with_views(select: str, ctes: str = "") -> str:
                 needed.append(name)
 
     need(ctes + " " + select)
-    parts = [f"{name} as ({VIEWS[name]})" for name in dict.fromkeys(needed)]
+    parts = [f"{name} as {kept}({VIEWS[name]})" for name in dict.fromkeys(needed)]
     if ctes:
-        parts.append(ctes)
+        parts.append(re.sub(r"(\b\w+ as )(\(\s*(?:select|values)\b)", rf"\1{kept}\2", ctes) if kept else ctes)
     return f"with recursive {', '.join(parts)} {select}" if parts else select
 
 
@@ -263,6 +276,9 @@ class Workspace:
     def edges(self) -> DataFrame:
         return self.derived("edges", lambda: self.view("v_edges"))
 
+    def gone(self) -> DataFrame:
+        return self.derived("gone", lambda: self.view("v_gone"))
+
     def imports(self) -> DataFrame:
         return self.edges().select("repo", F.col("src").alias("path"), F.col("dst").alias("target"))
 
