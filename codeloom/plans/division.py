@@ -67,16 +67,16 @@ def plan_heuristics(plan_tasks: DataFrame, file_counts: DataFrame) -> DataFrame:
     all_costly = (F.col("small") == 0) & (total > C.SMALL_AGENT_FILES)
     mostly_large = F.col("large") > F.col("medium") + F.col("small")
     warnings = F.array_compact(F.array(
-        F.when(imbalanced, say("Many tasks (", F.col("uneven"), "/", tasks, ") are significantly imbalanced")),
-        F.when(slow, say("Sequential execution with many tasks may be slow")),
-        F.when(mostly_large, say("Most tasks use large agents, which may be expensive")),
+        F.when(imbalanced, say("Many tasks (", F.col("uneven"), "/", tasks, ") are far from the average size")),
+        F.when(slow, say("The tasks run one after the other")),
+        F.when(mostly_large, say("More than half of the tasks need the largest agent")),
     ))
     suggestions = F.array_compact(F.array(
-        F.when(imbalanced, say("Consider redistributing files more evenly across tasks")),
-        F.when(slow, say("Consider using parallel execution for independent modules")),
-        F.when(coarse, say("Only ", tasks, " tasks for ", total, " files. Consider more granular division for better parallelism")),
-        F.when(tasks > 20, say("Many tasks (", tasks, ") may have coordination overhead. Consider grouping related scopes")),
-        F.when(all_costly, say("All tasks use medium/large agents. Consider using small agents for simpler files to reduce cost")),
-        F.when(mostly_large, say("Review if all tasks truly need large agent complexity")),
+        F.when(imbalanced, say("Move files from the largest to the smallest tasks")),
+        F.when(slow, say("Run tasks that share no files at the same time")),
+        F.when(coarse, say("Only ", tasks, " tasks for ", total, " files: divide further")),
+        F.when(tasks > 20, say("Many tasks (", tasks, "): join neighbouring scopes")),
+        F.when(all_costly, say("No task uses the smallest agent: simple files could")),
+        F.when(mostly_large, say("Check which of them a smaller agent could do")),
     ))
     return plans.select("plan_id", warnings.alias("warnings"), suggestions.alias("suggestions"))

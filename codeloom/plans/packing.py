@@ -247,10 +247,10 @@ def plan_warnings(assignments: DataFrame, large_file: int = C.TARGET_LOC) -> Dat
     note = lambda holds, *parts: F.when(holds, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
     count = lambda name: F.col(name).cast("string")
     warnings = F.array_compact(F.array(
-        note(F.try_to_number(F.col("imbalance_ratio"), F.lit("9999999999.0")) > 5, "High imbalance ratio (", F.col("imbalance_ratio"), "x) detected"),
-        note(F.col("high_loc_tasks") > 0, count("high_loc_tasks"), " task(s) exceed 2000 LOC soft limit"),
-        note(F.col("trimmed_files") > 0, count("trimmed_files"), " file(s) will be trimmed for LLM context"),
-        note(F.col("_big") > 0, count("_big"), f" large file(s) detected (>{large_file} LOC)"),
+        note(F.try_to_number(F.col("imbalance_ratio"), F.lit("9999999999.0")) > 5, "Largest and smallest task differ by a factor of ", F.col("imbalance_ratio")),
+        note(F.col("high_loc_tasks") > 0, count("high_loc_tasks"), " tasks are above 2000 lines"),
+        note(F.col("trimmed_files") > 0, count("trimmed_files"), " files are cut to fit a prompt"),
+        note(F.col("_big") > 0, count("_big"), f" files of {large_file} lines or more"),
     ))
     by_count = F.ceil(F.col("total_files") / C.MAX_FILES_PER_TASK).cast("bigint")
     return totals.withColumn("imbalance_ratio", ratio).select(

@@ -91,7 +91,7 @@ def test_totals_and_warnings(plan):
     assert (row.total_files, row.total_loc, row.trimmed_files, row.tasks, row.min_loc, row.avg_loc, row.max_loc) == (6, 1320, 1, 3, 20, 307, 500)
     note = packing.plan_warnings(packed).first()
     assert note.imbalance_ratio == "25.0" and note.tasks_by_file_count == 1 and note.extra_tasks == 2
-    assert note.warnings == ["High imbalance ratio (25.0x) detected", "1 file(s) will be trimmed for LLM context", "1 large file(s) detected (>500 LOC)"]
+    assert note.warnings == ["Largest and smallest task differ by a factor of 25.0", "1 files are cut to fit a prompt", "1 files of 500 lines or more"]
 
 
 def test_assignment_checks(plan, table):
@@ -131,7 +131,7 @@ def test_division_rules(table, tasks, total, options, rules):
 
 def test_division_heuristics(table):
     row = division_of(table, [("a", "large", 29), ("b", "large", 1)], 120)[1].first()
-    assert row.warnings == ["Many tasks (2/2) are significantly imbalanced", "Most tasks use large agents, which may be expensive"]
+    assert row.warnings == ["Many tasks (2/2) are far from the average size", "More than half of the tasks need the largest agent"]
     assert len(row.suggestions) == 4 and row.suggestions[1].startswith("Only 2 tasks for 120 files")
     row = division_of(table, [(str(i), "small", 1) for i in range(21)], 21, execution="sequential")[1].first()
-    assert row.warnings == ["Sequential execution with many tasks may be slow"] and len(row.suggestions) == 2
+    assert row.warnings == ["The tasks run one after the other"] and len(row.suggestions) == 2
