@@ -73,7 +73,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if current is None:
         context.setCheckpointDir(configured)
-    return (configured or current).rstrip("/")
+    folder = (configured or current).rstrip("/")
+    # Spark writes local paths with one slash, which other readers of URIs do not take.
+    return f"file://{folder[5:]}" if folder.startswith("file:/") and not folder.startswith("file://") else folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
