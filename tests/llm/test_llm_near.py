@@ -218,3 +218,35 @@ def test_far_pivots_only():
     assert len(embedding_dedup.choose_pivots(sample, 10)) == 4
     near = embedding_dedup.nearest_pivots(np.array([[0.9, 0.1, 0, 0, 0], [0, 0, 0, 1, 0.0]]), np.eye(5)[:4], 2)
     assert near.tolist() == [[0, 1], [3, 0]]
+
+
+def pairs_of_cosine(cosine: float, n: int, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a, b = unit(rng.standard_normal((n, dim))), rng.standard_normal((n, dim))
+    return a, cosine * a + (1 - cosine**2) ** 0.5 * unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+
+
+@pytest.mark.parametrize("pivots", [64, 1131, 8192])
+def test_similar_vectors_share_pivots_however_many_there_are(pivots):
+    a, b = pairs_of_cosine(0.9, 1500, 64, pivots)
+    points, _ = pairs_of_cosine(0.9, pivots, 64, 1)
+    near = [embedding_dedup.nearest_pivots(v, points, embedding_dedup.number_of_nearest(pivots)) for v in (a, b)]
+    shared = (near[0][:, :, None] == near[1][:, None, :]).sum(axis=(1, 2))
+    assert np.mean(shared >= embedding_dedup.SHARED) > 0.995
+
+
+@pytest.mark.parametrize("pivots", [1131, 8192])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_links_with_many_pivots_are_those_of_all_pairs(spark, monkeypatch, pivots, kind):
+    monkeypatch.setattr(embedding_dedup, "number_of_pivots", lambda n: pivots)
+    a, b = pairs_of_cosine(0.901, 600, 64, 7)
+    others, _ = pairs_of_cosine(0.9, pivots, 64, 8)
+    rows = np.concatenate([a, b, others]).astype("f4")
+    df = spark.createDataFrame(enumerate(rows.tolist()), f"vec_id long, embedding array<{kind}>").repartition(3)
+    units = np.stack([embedding_dedup.unit_vector(v) for v in rows.tolist()])
+    linked = units @ units.T >= 0.9
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    n_links = np.array([got[i] for i in range(len(rows))])
+    assert (n_links <= linked.sum(axis=1)).all() and n_links.sum() >= 0.99 * linked.sum() > 1000
