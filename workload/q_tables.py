@@ -208,12 +208,12 @@ def contract_meta(w):
     select repo, path as subject, 'imports' as field, 'required' as rule from v_order where status = 'P'
     union all select repo, path, 'imported_by', 'elements required' from v_part_file where p_size = 50""")
 def contract_graph(w):
-    nested = G.adjacency(w.graph()).join(w.view("v_order").select("repo", "path", "status"), ["repo", "path"], "left").join(
-        w.view("v_part_file").select("repo", "path", "p_size"), ["repo", "path"], "left")
-    empty = F.array(F.lit(None).cast("string"))
-    return contracts.check_contract(nested.select(
-        "repo", "path", F.when(F.col("status") == "P", F.lit(None)).otherwise(F.col("imports")).alias("imports"),
-        F.when(F.col("p_size") == 50, empty).otherwise(F.col("imported_by")).alias("imported_by")), "graph")
+    graph, keys = w.graph(), ["repo", "path"]
+    lacking = graph.nodes.join(w.view("v_order").filter("status = 'P'").select(*keys), keys, "left_semi").withColumn("direction", F.lit("imports"))
+    holed = graph.nodes.join(w.view("v_part_file").filter("p_size = 50").select(*keys), keys, "left_semi").withColumn("direction", F.lit("imported_by"))
+    rows = G.listed(graph).join(lacking.unionByName(holed), [*keys, "direction"], "left_anti").unionByName(
+        holed.withColumn("other", F.lit(None).cast("string")))
+    return contracts.check_graph_rows(rows, lacking)
 
 
 # --- streams ---------------------------------------------------------------
