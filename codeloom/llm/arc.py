@@ -145,8 +145,11 @@ def _page_id(head: bytes) -> int | None:
 
 
 def arc_documents(stream, archive: str, with_payload: bool = True) -> Iterator[dict]:
-    """The documents of one archive. A line or length that can't be followed ends it with a row that names the problem."""
-    version, position = 0, 0
+    """The documents of one archive; a version block is one only as the first of it.
+
+    A line or length that can't be followed ends it with a row that names the problem.
+    """
+    version, position, first = 0, 0, True
     while True:
         start, line = position, stream.readline()
         position += len(line)
@@ -168,9 +171,10 @@ def arc_documents(stream, archive: str, with_payload: bool = True) -> Iterator[d
         if len(document) < size:
             yield row | {"url": values["URL"], "problem": "shorter than declared"}
             return
-        if values["URL"].startswith("filedesc:"):
-            version = 2 if document[:1] == b"2" else 1
+        if first and values["URL"].startswith("filedesc:"):
+            version, first = 2 if document[:1] == b"2" else 1, False
             continue
+        first = False
         head, payload = _split_head(document)
         status = values.get("Result-code") or (head.split(b" ", 2)[1][:3].decode("ascii", "replace") if head.count(b" ") else None)
         yield row | {
@@ -244,13 +248,17 @@ def revisits(documents: DataFrame, min_bytes: int = 0) -> DataFrame:
     return again.filter(~itself).select("archive", "position", F.struct("first.url", "first.date", "first.key").alias("refers"))
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, whole_only: bool = False) -> None:
     """Write the documents of all archives below ``arc_path`` as WARC files below ``warc_path``.
 
-    Documents that can't be read whole are left out; ``read_arc`` lists them.
+    Documents that can't be read whole are left out (``read_arc`` lists them), or with
+    ``whole_only`` an error.
     """
     scratch = Scratch(spark, "arc")
     seen = scratch.keep(read_arc(spark, arc_path, with_payload=False).drop("head", "payload"))
+    broken = seen.filter("problem is not null").first() if whole_only else None
+    if broken:
+        raise ValueError(f"broken document: {broken.archive} {broken.position} {broken.problem}")
     again = revisits(seen, min_bytes)
     columns = ["archive", "position", "url", "ip", "date", "mime", "head", "payload", "payload_digest", "page_id", "refers"]
     documents = read_arc(spark, arc_path).filter("problem is null").join(
@@ -319,8 +327,12 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Revisit records with length and id of the record they refer to: (page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri)."""
-    whole = records.filter("problem is null")
+    """Revisit records with length and id of the record they refer to: (page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri).
+
+    A record with a problem is an error.
+    """
+    failed = F.raise_error(F.concat_ws(" ", F.lit("broken record:"), "archive", F.col("position").cast("string"), "problem"))
+    whole = records.filter(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(failed.cast("boolean")))
     # Rows repeated with one id and one payload have one record id.
     responses = whole.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(
         F.min("payload_bytes").alias("_bytes"), F.min("page_id").alias("_page"))

@@ -152,7 +152,7 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as legacy archives, converted to WARC and read back."""
     legacy, converted = scratch_path(spark, "arc"), scratch_path(spark, "warc")
     arc.write_arc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), legacy)
-    arc.convert(spark, legacy, converted, min_bytes=0)
+    arc.convert(spark, legacy, converted, min_bytes=0, whole_only=True)
     remove(spark, legacy)
     scratch = Scratch(spark, "warc-records")
     records = scratch.keep(arc.read_warc(spark, converted, with_payload=False).drop("payload"))

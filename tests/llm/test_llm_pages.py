@@ -194,6 +194,11 @@ def test_broken_archives_say_so():
     assert [r["problem"] for r in arc.warc_records(io.BytesIO(b"HTTP/1.1\r\n"), "f")] == ["version line"]
 
 
+def test_version_block_only_as_the_first_document():
+    data = arc_file(1, [b"one", b"two"]).replace(b"http://h/0 a", b"filedesc://x")
+    assert [(r["url"], r["payload"]) for r in arc.arc_documents(io.BytesIO(data), "f")] == [("filedesc://x", b"one"), ("http://h/1 a", b"two")]
+
+
 def pages_by_hand(rows, least=0):
     first = {}
     for page, _, page_html in rows:
@@ -254,3 +259,21 @@ def test_no_pages_no_archives(spark):
     arc.write_arc(spark.createDataFrame([], "page_id long, url string, html string"), legacy)
     arc.convert(spark, legacy, converted)
     assert arc.resolved(arc.read_warc(spark, converted)).count() == 0
+
+
+def test_pages_with_the_url_of_a_version_block(spark):
+    rows = [(1, "filedesc://pages.arc", "one"), (2, "http://h/", "two"), (3, "filedesc:2", "2 0 three")]
+    legacy, converted = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    arc.write_arc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), legacy)
+    arc.convert(spark, legacy, converted, whole_only=True)
+    got = arc.resolved(arc.read_warc(spark, converted)).drop("target_uri")
+    assert Counter(tuple(r) for r in got.collect()) == pages_by_hand(rows)
+
+
+def test_broken_records_and_documents_are_errors(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nshort")
+    with pytest.raises(Exception, match="shorter than declared"):
+        arc.resolved(arc.read_warc(spark, str(tmp_path / "x.warc"))).collect()
+    (tmp_path / "x.arc").write_bytes(arc_file(1, [b"one"])[:-3])
+    with pytest.raises(ValueError, match="shorter than declared"):
+        arc.convert(spark, str(tmp_path / "x.arc"), scratch_path(spark, "warc"), whole_only=True)
