@@ -13,6 +13,8 @@ Built-in column functions only; what the driver reads is four sums per level.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ Z = 1.645
 # Bounds of the correlation, so that the prior counts for 1 page at least and 9999 at most.
 RHO = (0.0001, 0.5)
 
-# Suffixes of two labels under which names are registered.
+# Suffixes of two labels under which names are registered unless others are given: a part of the public ones, the same as in the query's SQL.
 TWO_LABEL_SUFFIXES = (
     "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.za", "com.br", "com.cn", "co.in", "co.jp", "ne.jp",
     "or.jp", "co.kr", "com.mx", "com.tr", "com.tw", "com.ar",
@@ -55,12 +57,15 @@ def _last(labels: Column, n: int) -> Column:
     return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.lit(n)), ".")
 
 
-def _levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host; an address of numbers is its own."""
+def _levels(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host; an address of numbers is its own.
+
+    A suffix of two labels that is not among ``suffixes`` counts as a domain.
+    """
     name = _name(host)
     labels = F.split(name, "\\.")
     number = name.rlike("^[0-9.]+$")
-    two = _last(labels, 2).isin(*TWO_LABEL_SUFFIXES)
+    two = _last(labels, 2).isin(*suffixes)
     domain = F.when(number, name).when(two, _last(labels, 3)).otherwise(_last(labels, 2))
     suffix = F.when(number, name).when(two, _last(labels, 2)).otherwise(_last(labels, 1))
     return domain, suffix
@@ -96,12 +101,12 @@ def _shrunk(units: DataFrame, mean: Column) -> tuple[DataFrame, float]:
     return at.withColumn("mean", (F.lit(strength) * F.col("_m") + F.col("x")) / (F.lit(strength) + F.col("n"))).drop("_m"), strength
 
 
-def host_reputation(outcomes: DataFrame, scratch: Scratch, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, scratch: Scratch, z: float = Z, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """(host, n, mean, low) for the hosts of ``outcomes`` (host, bad); rows with a null ``bad`` only name a host.
 
     ``low`` is the lower bound of the host's bad rate: posterior mean less ``z`` standard deviations.
     """
-    domain, suffix = _levels(F.col("host"))
+    domain, suffix = _levels(F.col("host"), suffixes)
     hosts = scratch.keep(
         outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("bigint")), F.lit(0)).alias("x"))
         .withColumns({"domain": domain, "suffix": suffix}))
@@ -127,6 +132,7 @@ def judge_urls(
     z: float = Z,
     id_col: str = "page_id",
     url_col: str = "url",
+    suffixes: Sequence[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, n_labelled, bad_mean, bad_low) for every row of ``pages``.
 
@@ -134,14 +140,16 @@ def judge_urls(
     id or a null ``bad`` don't. ``verdict`` is the rule's, else ``block`` if ``bad_low``
     exceeds ``max_bad`` and ``allow`` if not; the last two columns are rounded to six
     places. A null url, or one without ``://``, has the host ''. Repeated rows are
-    judged, and their outcomes counted, as often as they come.
+    judged, and their outcomes counted, as often as they come. Hosts under a suffix of
+    two labels that is not among ``suffixes`` (say com.sg, of those not in the default)
+    share its prior as if it were one registered domain.
     """
     scratch = Scratch(pages.sparkSession, "reputation")
     url = F.col(url_col)
     places = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     labelled = outcomes.select(F.col(id_col).alias("_of"), "bad").filter("bad is not null")
     seen = places.select("_id", "host").join(labelled, F.col("_id") == F.col("_of"), "left").select("host", "bad")
-    reputation = host_reputation(seen, scratch, z).withColumnRenamed("host", "_host")
+    reputation = host_reputation(seen, scratch, z, suffixes).withColumnRenamed("host", "_host")
     judged = places.join(counted_broadcast(reputation), F.col("host") == F.col("_host")).withColumn(
         "rule", matching_rule(F.col("host"), F.col("path"), list(rules)))
     by_bound = F.when(F.col("low") > max_bad, F.lit("block")).otherwise(F.lit("allow"))

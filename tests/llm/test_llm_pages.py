@@ -163,6 +163,16 @@ def test_extraction_keeps_rows_and_columns(spark):
     assert html_blocks.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_owners_under_a_given_suffix_share_no_prior(spark):
+    bad = [(i, "http://bad.com.sg/", True) for i in range(40)] + [(i, "http://fine.com.sg/", False) for i in range(40, 80)]
+    rows = bad + [(i, "http://x.bad.com.sg/", None) for i in range(80, 81)] + [(i, "http://x.fine.com.sg/", None) for i in range(81, 82)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    judged = lambda **more: {r.host: r.bad_mean for r in host_reputation.judge_urls(df.drop("bad"), df.drop("url"), **more).collect()}
+    mixed, own = judged(), judged(suffixes=[*host_reputation.TWO_LABEL_SUFFIXES, "com.sg"])
+    assert mixed["x.bad.com.sg"] == mixed["x.fine.com.sg"]
+    assert own["x.bad.com.sg"] > 0.8 and own["x.fine.com.sg"] < 0.2
+
+
 # Archives
 
 
