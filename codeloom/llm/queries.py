@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import (
-    arc, embedding_dedup, fingerprints, host_reputation, html_blocks, mixing, packing, simhash_dedup, token_trees, toxicity,
+    arc, embedding_dedup, filter_audit, fingerprints, host_reputation, html_blocks, lexical_search, mixing, packing, simhash_dedup, token_trees, toxicity,
 )
 from codeloom.llm.common import Scratch, remove, table
 from codeloom.session import scratch_path
@@ -215,3 +215,77 @@ def op8_edited_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = token_trees.apply_edits(trees.withColumn("edits", edits))
     return edited.select("doc_id", "n_tokens_before", "n_tokens", F.char_length("text").cast("long").alias("n_chars"), "encoded_chars",
                          F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from the documents of every language, in all orders."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = """
+with recursive texts as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+marks as (
+  select doc_id, part,
+    (len(words) < 100)::int + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::int
+    + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+    + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as mask
+  from texts),
+flags as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+counts as materialized (
+  select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+  from marks left join flags using (doc_id) group by part, mask),
+letters(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+chains(filter_order, used) as (
+  select '', 0 union all select filter_order || letter, used + bit from chains, letters where used & bit = 0),
+steps as (
+  select filter_order, step, bit, (select coalesce(sum(l.bit), 0) from letters l where position(l.letter in filter_order) < step)::int as before
+  from (select filter_order from chains where used = 31), range(1, 6) r(step), letters where letter = filter_order[step]),
+audit as (
+  select part, filter_order, step::int as step, bit,
+    coalesce(sum(n) filter (where mask & (before + bit) = 0), 0)::bigint as kept,
+    coalesce(sum(n) filter (where mask & before = 0 and mask & bit <> 0), 0)::bigint as removed,
+    coalesce(sum(n) filter (where mask & before <> 0 and mask & bit <> 0), 0)::bigint as redundant,
+    coalesce(sum(n) filter (where mask = bit), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (where mask & before = 0 and mask & bit <> 0), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (where mask & before = 0 and mask & bit <> 0), 0)::bigint as toxic_lost
+  from counts, steps group by part, filter_order, step, bit)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, bit))::bigint as shapley
+from audit
+"""
+
+
+@query
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_dual_tree_search"] = """
+with found as (
+  select doc_id, row_number() over () as row_, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from documents where text is not null),
+docs as materialized (select doc_id, row_, terms, len(terms)::bigint as n from found where len(terms) > 0),
+sizes as (select count(*)::bigint as docs, sum(n)::bigint as total from docs),
+asked as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+  from benchmark),
+wanted as materialized (select item_id, term, count(*)::bigint as times from asked group by item_id, term),
+held as materialized (
+  select doc_id, row_, n, term, count(*)::bigint as tf
+  from (select doc_id, row_, n, unnest(terms) as term from docs) where term in (select term from wanted) group by all),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select term, count(*)::bigint as df from held group by term), sizes),
+scores as (
+  select item_id, row_, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total))))::bigint as score
+  from wanted join weights using (term) join held using (term), sizes group by item_id, row_, doc_id),
+ranked as (
+  select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from scores where score > 0)
+select * from ranked where rank <= 20
+"""
