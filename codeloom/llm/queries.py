@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import (
-    arc, embedding_dedup, filter_audit, fingerprints, host_reputation, html_blocks, lexical_search, mixing, packing, simhash_dedup, token_trees, toxicity,
+    arc, embedding_dedup, filter_audit, fingerprints, host_reputation, html_blocks, lexical_search, mixing, packing, quality, simhash_dedup, token_trees,
+    toxicity,
 )
 from codeloom.llm.common import Scratch, remove, table
 from codeloom.session import scratch_path
@@ -289,3 +290,10 @@ ranked as (
   select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from scores where score > 0)
 select * from ranked where rank <= 20
 """
+
+
+@query
+def op11_passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by attention over its passages, learnt from labelled ones outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))

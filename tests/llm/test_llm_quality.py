@@ -1,0 +1,204 @@
+"""The quality model: gradients, scores by hand, held-out accuracy, attention, odd rows, the query."""
+
+from __future__ import annotations
+
+import math
+import os
+import pickle
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from codeloom.llm import quality
+from codeloom.llm.common import table
+from codeloom.llm.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+SYLLABLES = "ta ne ri lo mu sa ke do vi pa".split()
+DOC = "doc_id long, text string"
+
+
+def corpus(n: int, seed: int) -> tuple[list[str], list[int]]:
+    """Texts of invented words; in bad ones a third of the words, in one run, shout, carry marks or repeat."""
+    rng, texts, labels = random.Random(seed), [], []
+    word = lambda: "".join(rng.choices(SYLLABLES, k=rng.randint(1, 4)))
+    for i in range(n):
+        words = [word() for _ in range(rng.choice([6, 40, 200, 600]))]
+        bad = rng.random() < 0.25
+        if bad:
+            at, size = rng.randrange(len(words)), max(len(words) // 3, 5)
+            kind = rng.randrange(3)
+            junk = [word().upper() + "!!" for _ in range(size)] if kind == 0 else [word() + rng.choice(["###", "%%%"]) for _ in range(size)]
+            words[at:at + size] = [words[0]] * size if kind == 2 else junk
+        texts.append(" ".join(words))
+        labels.append(int(not bad))
+    return texts, labels
+
+
+@pytest.fixture(scope="module")
+def model():
+    return quality.fit(*corpus(400, 1))
+
+
+def area(scores, labels):
+    order = scores.argsort(kind="stable").argsort()
+    return (order[labels == 1].mean() - (labels.sum() - 1) / 2) / (labels == 0).sum()
+
+
+def test_held_out_accuracy(model):
+    texts, labels = corpus(400, 2)
+    scores, labels = model.scores(texts), np.array(labels)
+    assert area(scores, labels) > 0.97
+    assert ((scores >= quality.THRESHOLD) == labels).mean() > 0.95
+    assert ((0 <= scores) & (scores <= 1)).all()
+
+
+def test_attention_finds_the_passage_that_tells(model):
+    clean = "tane rilo musa kedo vipa nepa saloke " * 40
+    words = (clean + "###SAKE%%% KEDO%%% " * 40 + clean).split()
+    starts, sizes, begin = quality._passages([words])
+    model.logits([" ".join(words)])
+    rows = model._lookup(words)
+    inputs = np.concatenate([
+        np.stack([model.rows[rows[a:a + n]].mean(axis=0) for a, n in zip(starts, sizes)]), quality._measures(rows, starts, sizes)], axis=1)
+    weights = model.attention(model.encode(inputs.astype("f4")), begin)
+    assert weights.sum() == pytest.approx(1, abs=1e-5)
+    assert words[starts[weights.argmax()] + 32].endswith("%%%")
+
+
+def test_whole_texts_are_read(model):
+    rng = random.Random(3)
+    clean = " ".join("".join(rng.choices(SYLLABLES, k=3)) for _ in range(3000))
+    junk = "SAKE!! DOVI!! " * 300
+    whole, start, end = model.scores([clean, junk + clean, clean + " " + junk])
+    assert whole > 0.3 and start < whole - 0.2 and end < whole - 0.2
+
+
+def score_by_hand(model, text: str | None) -> float:
+    """The score of one text, word by word and passage by passage."""
+    w = {k: v.astype("f8") for k, v in model.weights.items()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    mask = (1 << 64) - 1
+
+    def bucket(a, b, c):
+        value = ((a * 0x9E3779B97F4A7C15 & mask) ^ b) * 0xC2B2AE3D27D4EB4F & mask
+        value = (value ^ c ^ value >> 31) * 0x165667B19E3779F9 & mask
+        return (value >> 40) % quality.BUCKETS
+
+    def of_word(word):
+        codes = [2, *map(ord, word), 2]
+        grams = [w["grams"][bucket(*codes[i:i + 3])] for i in range(len(word))]
+        share = lambda f: sum(map(f, word)) / len(word)
+        letters, digits = share(str.isalpha), share(str.isdigit)
+        mark = not word[-1].isalpha() and not word[-1].isdigit() and word[-1] not in ".,;:!?"
+        return [*np.mean(grams, axis=0), share(str.isupper), digits, 1 - letters - digits, mark, letters == 0, min(len(word), 40) / 10]
+
+    words = [x.replace("\x02", "?") for x in (text or "").split()]
+    encoded, scores = [], []
+    for at in range(0, max(len(words), 1), 64):
+        some = words[at:at + 64]
+        mean = np.mean([of_word(x) for x in some], axis=0) if some else np.zeros(14)
+        n = max(len(some), 1)
+        again, same = len(some) - len(set(some)), sum(a == b for a, b in zip(some, some[1:]))
+        h = np.tanh(np.r_[mean, 3 * again / n, 3 * same / n, math.log1p(len(some)) / 4] @ w["in"] + w["in_bias"])
+        gate = np.array([sigmoid(x) for x in h @ w["gate"] + w["gate_bias"]])
+        scores.append(float((np.tanh(h @ w["felt"] + w["felt_bias"]) * gate) @ w["query"]))
+        encoded.append(h)
+    weights = np.exp(scores) / np.exp(scores).sum()
+    logit = float(weights @ np.array(encoded) @ w["out"] + w["out_bias"][0])
+    slope, middle = model.scale
+    return sigmoid(slope * (logit - middle))
+
+
+ODD = [None, "", " \n", "a", "É", "###", "a" * 100_000, "\U0001f600 \x02 ok", "x " * 63 + "x", "y " * 64, "z " * 64 + "1a 2B!"]
+
+
+def test_scores_by_hand(model):
+    texts = corpus(40, 5)[0] + ODD
+    assert model.scores(texts) == pytest.approx([score_by_hand(model, t) for t in texts], abs=2e-4)
+
+
+def test_scores_do_not_depend_on_company(model):
+    texts = corpus(30, 6)[0] + ODD
+    together = model.scores(texts)
+    model.cache, model.rows = {}, None
+    assert together == pytest.approx([model.scores([t])[0] for t in texts], abs=2e-5)
+    assert pickle.loads(pickle.dumps(model)).scores(texts) == pytest.approx(together, abs=2e-5)
+
+
+def test_long_texts_in_parts(model, monkeypatch):
+    texts = corpus(30, 7)[0]
+    whole = model.scores(texts)
+    monkeypatch.setattr(quality, "_WORDS_AT_ONCE", 100)
+    assert model.scores(texts) == pytest.approx(whole, abs=2e-5)
+
+
+def test_gradients():
+    texts, labels = corpus(8, 8)
+    model = quality.initial(1)
+    model.weights = {k: v.astype("f8") for k, v in model.weights.items()}
+    bags, docs, labels = quality._bags(texts), np.arange(8), np.array(labels, "f8")
+
+    def loss():
+        _, p = quality.gradients(model, bags, docs, labels)
+        return -(labels * np.log(p) + (1 - labels) * np.log(1 - p)).mean()
+
+    found, _ = quality.gradients(model, bags, docs, labels)
+    rng = np.random.default_rng(2)
+    for name, g in found.items():
+        w = model.weights[name].reshape(-1)
+        some = np.argsort(-np.abs(g.reshape(-1)))[:3] if name == "grams" else rng.choice(w.size, min(4, w.size), replace=False)
+        for i in some:
+            before = w[i]
+            w[i] = before + 1e-4
+            up = loss()
+            w[i] = before - 1e-4
+            down = loss()
+            w[i] = before
+            assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-4, abs=3e-5), name
+
+
+@pytest.mark.parametrize("labels", [[], [1, 1, 1, 1], [0]])
+def test_one_class_only(labels):
+    scores = quality.fit(["some text"] * len(labels), labels).scores(["", "a b c", "### !!"])
+    share = (sum(labels) + 1) / (len(labels) + 2)
+    assert scores == pytest.approx([share] * 3, abs=1e-5)
+
+
+def test_rows(spark, model):
+    docs = spark.createDataFrame([(1, "tane", "x", 5), (1, "tane", "x", 5), (None, None, None, None), (2, "", "y", 6)], DOC + ", score string, predicted int")
+    rows = quality.score_documents(docs, model).collect()
+    assert [tuple(r.asDict()) for r in rows][0] == ("doc_id", "held_out", "score", "predicted")
+    assert sorted((str(r.doc_id), r.held_out) for r in rows) == [
+        ("1", zlib.crc32(b"1") % 5 == 0), ("1", zlib.crc32(b"1") % 5 == 0), ("2", zlib.crc32(b"2") % 5 == 0), ("None", True)]
+    assert all(r.predicted == (r.score >= 0.3) for r in rows)
+    assert quality.score_documents(docs.limit(0), model).collect() == []
+
+
+def test_training_takes_no_held_out_labels(spark, monkeypatch):
+    taught = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: taught.update(zip(texts, labels)))
+    docs = spark.createDataFrame([(i, f"t{i}", "k") for i in range(60)] + [(3, "t3", "k"), (None, "none", "k"), (70, None, "k")], DOC + ", quality string")
+    labels = [(i, i % 2) for i in range(50)] + [(3, 0), (None, 1), (51, None), (52, 7), (70, 1), (99, 1)]
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    kept = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
+    quality.train(docs, labels)
+    assert taught == {f"t{i}": i % 2 for i in kept} | ({"": 1} if zlib.crc32(b"70") % 5 else {})
+    taught.clear()
+    quality.train(docs, labels, per_class=3)
+    assert sorted(taught.values()) == [0, 0, 0, 1, 1, 1]
+    quality.train(docs.limit(0), labels.limit(0))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_op11(spark):
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    model = quality.train(docs, labels)
+    want = {r.doc_id: score_by_hand(model, r.text) for r in docs.collect()}
+    got = {r.doc_id: r for r in QUERIES["op11_passage_quality"](spark, FOLDER).collect()}
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert r.score == pytest.approx(want[i], abs=2e-4) and r.predicted == (r.score >= 0.3)
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
