@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import groupby
 from typing import NamedTuple
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom import constants as C
 from codeloom.functions.paths import ancestors
+from codeloom.session import stored
 
 
 class Rule(NamedTuple):
@@ -116,40 +118,118 @@ def ignore_stats(files: DataFrame, patterns: list[str], defaults: bool = False)
     )
 
 
+# Rules of one repository, in runs of the same sign; see ``index_rules``.
+RUNS = "array<struct<negated: boolean, keys: array<string>, regex: string>>"
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Compiled rules up to so many bytes are broadcast, more are joined by repository.
+BROADCAST_BYTES = 16 << 20
+
+
+def _small(text: str) -> str:
+    return text.translate(str.maketrans(_CAPITALS, _SMALL))
+
+
+def rule_key(pattern: str) -> tuple[str, bool] | None:
+    """Key under which a rule is looked up, and whether it is negated; None for rules that need a regex.
+
+    ``name`` for an exact name anywhere, ``name/`` for a directory's, ``*.end`` for the
+    end of a name from a dot on.
+    """
+    text = re.sub(r"(?<!\\)\s+$", "", pattern)
+    negated = text.startswith("!")
+    text = text[1:] if negated else text
+    name = text.rstrip("/")
+    if not name or "/" in name or re.search(r"[?\[\\]", name):
+        return None
+    if "*" not in name:
+        return _small(name + "/" if text.endswith("/") else name), negated
+    if name == text and name.startswith("*.") and "*" not in name[1:]:
+        return _small(name), negated
+    return None
+
+
+@lru_cache(maxsize=256)
+def index_rules(patterns: tuple[str, ...]) -> tuple[tuple[bool, tuple[str, ...], str | None], ...]:
+    """(negated, keys, regex) per run of rules of the same sign, in order.
+
+    Within a run it makes no difference which rule matches, so that keys are a set and
+    the rules without one are a single pattern.
+    """
+    rules = [(p, rule) for p in patterns if (rule := compile_rule(p))]
+    runs = []
+    for negated, run in groupby(rules, key=lambda r: r[1].negated):
+        run = list(run)
+        keys = sorted({key[0] for p, _ in run if (key := rule_key(p))})
+        rest = list(dict.fromkeys(rule.regex for p, rule in run if not rule_key(p)))
+        runs.append((negated, tuple(keys), "|".join(rest) or None))
+    return tuple(runs)
+
+
 def compile_rule_table(patterns: DataFrame) -> DataFrame:
-    """(repo, position, pattern) → (repo, rules): one ordered rule array per repository."""
+    """(repo, position, pattern) → (repo, runs): the indexed rules of every repository that has any."""
+    listed = patterns.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("position", "pattern"))).alias("listed"))
 
-    def compile_batches(batches):
+    def index(batches):
         for batch in batches:
-            rows = [
-                (repo, position, rule.regex, rule.negated)
-                for repo, position, pattern in batch[["repo", "position", "pattern"]].itertuples(index=False)
-                if (rule := compile_rule(pattern))
-            ]
-            yield pd.DataFrame(rows, columns=["repo", "position", "regex", "negated"])
-
-    compiled = patterns.mapInPandas(compile_batches, "repo string, position long, regex string, negated boolean")
-    return compiled.groupBy("repo").agg(
-        F.sort_array(F.collect_list(F.struct("position", "regex", "negated"))).alias("rules")
-    )
+            rows = []
+            for repo, some in batch[["repo", "listed"]].itertuples(index=False):
+                runs = index_rules(tuple(r["pattern"] for r in some))
+                if runs:
+                    rows.append((repo, [{"negated": negated, "keys": list(keys), "regex": regex} for negated, keys, regex in runs]))
+            yield pd.DataFrame(rows, columns=["repo", "runs"])
 
+    return listed.mapInPandas(index, f"repo string, runs {RUNS}")
 
-def filter_ignored_by_repo(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``filter_ignored`` with each repository's own ignore file (repo, position, pattern)."""
-    rules = compile_rule_table(patterns)
-    always = is_ignored(F.col("path"), [])
-    path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
+
+def _keys(names: Column, folders: Column) -> Column:
+    """Keys the names and folder names (ASCII capitals made small) can be looked up under."""
+    def ends(name: Column) -> Column:
+        parts = F.split(name, "\\.")
+        n = F.size(parts)
+        return F.when(n > 1, F.transform(F.sequence(F.lit(2), n), lambda i: F.concat(
+            F.lit("*."), F.array_join(F.slice(parts, i, n), ".")))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(names, F.transform(folders, lambda name: F.concat(name, F.lit("/"))), F.flatten(F.transform(names, ends)))
+
+
+def _found(text: Column, regex: Column) -> Column:
+    """Whether a pattern that matches no empty text is found; the pattern is compiled when it differs from the row's before."""
+    return F.call_function("regexp_extract", text, regex, F.lit(0)) != ""
+
+
+def _ignored_by_runs(path: Column, runs: Column) -> Column:
+    """Whether the last matching run ignores the path or a directory above it."""
+    small = F.translate(path, _CAPITALS, _SMALL)
+    segments = F.split(small, "/")
+    folders = F.slice(segments, F.lit(1), F.size(segments) - 1)
+    # Without negation one look-up of all keys and one search decide.
+    only = runs[0]
+    at_once = F.arrays_overlap(_keys(segments, folders), only["keys"]) | F.coalesce(
+        _found(path, F.concat(F.lit("(?i)(?:"), only["regex"], F.lit(")(?:(?<=/)|/|\\z)"))), F.lit(False))
 
     def verdict(prefix: Column) -> Column:
+        name = F.element_at(F.split(F.translate(F.rtrim(prefix, F.lit("/")), _CAPITALS, _SMALL), "/"), -1)
+        nothing = F.array().cast("array<string>")
+        keys = _keys(F.array(name), F.when(F.endswith(prefix, F.lit("/")), F.array(name)).otherwise(nothing))
         return F.aggregate(
-            "rules",
-            F.lit(False),
-            lambda acc, r: F.when(F.rlike(prefix, F.concat(F.lit("(?i)(?:"), r["regex"], F.lit(")\\z"))), ~r["negated"]).otherwise(acc),
-        )
+            runs, F.lit(False),
+            lambda seen, run: F.when(
+                F.arrays_overlap(keys, run["keys"])
+                | F.coalesce(_found(prefix, F.concat(F.lit("(?i)(?:"), run["regex"], F.lit(")\\z"))), F.lit(False)),
+                ~run["negated"]).otherwise(seen))
 
-    hit = F.exists(F.concat(ancestors(path), F.array(path)), verdict)
-    return (
-        files.filter(~always).join(rules, "repo", "left")
-        .filter(F.col("rules").isNull() | ~hit)
-        .drop("rules")
-    )
+    one_by_one = F.exists(F.concat(ancestors(path), F.array(path)), verdict)
+    return F.when((F.size(runs) == 1) & ~only["negated"], at_once).otherwise(one_by_one)
+
+
+def filter_ignored_by_repo(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``filter_ignored`` with each repository's own ignore file (repo, position, pattern).
+
+    Rules that are a name, a directory's name or the end of a name are looked up in a
+    set; only the others are searched for, in one pattern per repository.
+    """
+    rules = stored(compile_rule_table(patterns), "rules")
+    path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
+    size = rules.agg(F.sum(F.length(F.to_json("runs")))).first()[0] or 0
+    known = files.filter(~is_ignored(F.col("path"), [])).join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "repo", "left")
+    return known.filter(F.col("runs").isNull() | ~_ignored_by_runs(path, F.col("runs"))).drop("runs")

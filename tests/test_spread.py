@@ -1,0 +1,75 @@
+"""Files dealt to reading tasks by size."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from codeloom.sources import files, spread
+
+
+def tasks(df):
+    """Rows per task that has any."""
+    return Counter(r[0] for r in df.select(F.spark_partition_id()).collect())
+
+
+def test_no_task_reads_more_than_its_share(table):
+    sizes = [(i * 7919) % 1000 for i in range(500)] + [5000, None, 0]
+    df = table([(f"f{i}", s) for i, s in enumerate(sizes)], "path string, size_bytes long")
+    out = spread.dealt(df, "path", size="size_bytes", most=1000, opening=10)
+    assert out.columns == ["path", "size_bytes"]
+    rows = out.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.path, r.size_bytes) for r in rows if r.size_bytes is not None) == sorted((f"f{i}", s) for i, s in enumerate(sizes) if s is not None)
+    assert len(rows) == 503
+    read: dict[int, list[int]] = {}
+    for r in rows:
+        read.setdefault(r.task, []).append((r.size_bytes or 0) + 10)
+    assert len(read) > 200
+    # A part ends with the file that crosses its end.
+    assert all(sum(costs) - max(costs) <= 1000 for costs in read.values())
+
+
+def test_many_groups_are_one_running_sum(table, monkeypatch):
+    monkeypatch.setattr(spread, "_TOGETHER", 20)
+    df = table([(f"f{i}", 100) for i in range(400)], "path string, size_bytes long")
+    counts = tasks(spread.dealt(df, "path", size="size_bytes", most=1000, opening=25))
+    assert len(counts) == 50 and set(counts.values()) == {8}
+
+
+def test_adaptive_execution_leaves_the_parts_apart(spark, table):
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    df = table([(f"f{i}",) for i in range(12)], "path string")
+    counts = tasks(spread.dealt(df, "path"))
+    assert len(counts) == spark.sparkContext.defaultParallelism and max(counts.values()) == 3
+
+
+def test_taken_names_and_no_rows(table):
+    df = table([("a", 1, 2, 3)], "path string, _cost int, _group int, _PART int")
+    assert [tuple(r) for r in spread.dealt(df, "path").collect()] == [("a", 1, 2, 3)]
+    assert spread.dealt(df.limit(0), "path").collect() == []
+
+
+@pytest.mark.parametrize("folders, size", [(1, 10), (1, 3 << 20), (40, 10)])
+def test_scan_reads_in_many_tasks(spark, tmp_path, monkeypatch, folders, size):
+    """400 files, or a few large ones in one folder."""
+    n = 12 if size > 10 else 400
+    for i in range(n):
+        path = tmp_path / f"d{i % folders}" / f"f{i}.md"
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(b"x" * size)
+    found = files.scan_files(spark, {"r": str(tmp_path)})
+    counts = tasks(found)
+    assert sum(counts.values()) == n and len(counts) >= 4
+    assert max(counts.values()) <= n / 3
+
+
+def test_rules_and_folders_are_read_in_many_tasks(spark, tmp_path):
+    roots = {}
+    for i in range(12):
+        (tmp_path / f"r{i}").mkdir()
+        (tmp_path / f"r{i}" / ".mapignore").write_text("*.log\n")
+        roots[f"r{i}"] = str(tmp_path / f"r{i}")
+    counts = tasks(files.ignore_rules(spark, roots, ".mapignore"))
+    assert sum(counts.values()) == 12 and len(counts) == 4
