@@ -79,8 +79,11 @@ def test_cycle_message(notes):
     assert row.message == "Circular dependency detected: 2 files, first src/a"
 
 
-def test_cycles_match_brute_force(table, notes):
-    rng = random.Random(7)
+@pytest.mark.parametrize("part, seed", [(100_000, 7), (4, 8)])
+def test_cycles_match_brute_force(table, notes, monkeypatch, part, seed):
+    """In one part, and in parts so small that cycles run through many."""
+    monkeypatch.setattr(cycles, "PART_EDGES", part)
+    rng = random.Random(seed)
     names = [f"n{i:02d}" for i in range(40)]
     pairs = {(rng.choice(names), rng.choice(names)) for _ in range(55)}
     reach = {n: {d for s, d in pairs if s == n} for n in names}
@@ -91,8 +94,30 @@ def test_cycles_match_brute_force(table, notes):
     assert {(r.cycle, r.path) for r in cycles.cycle_members(g).collect()} == want
 
 
-def test_long_cycles(spark, table):
+def test_chain_of_many_small_components(spark, table, monkeypatch):
+    """Three hundred rings of three, each importing the next, cut into parts that split rings, in few tables."""
+    monkeypatch.setattr(cycles, "PART_EDGES", 100)
+    written = []
+    for module in (cycles,):
+        keep = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, *a: written.append(1) or keep(df, *a))
+    order = list(range(900))
+    random.Random(3).shuffle(order)
+    name = lambda i: f"n{order[i]:04d}"
+    pairs = []
+    for i in range(0, 900, 3):
+        pairs += [(name(i), name(i + 1)), (name(i + 1), name(i + 2)), (name(i + 2), name(i))] + ([(name(i + 2), name(i + 3))] if i < 897 else [])
+    imports = table([("r", a, b) for a, b in pairs], "repo string, path string, target string")
+    found = cycles.cycle_members(Graph(imports.select("repo", "path"), imports, imports)).collect()
+    want = {("r", min(name(j) for j in range(i, i + 3)), name(k)) for i in range(0, 900, 3) for k in range(i, i + 3)}
+    assert {tuple(x) for x in found} == want and len(found) == 900
+    assert len(written) < 30
+
+
+@pytest.mark.parametrize("part", [100_000, 70])
+def test_long_cycles(spark, table, monkeypatch, part):
     """A ring, a two-way chain and a tail of hundreds of files each, in two repositories."""
+    monkeypatch.setattr(cycles, "PART_EDGES", part)
     name = lambda i: f"n{i:04d}"
     ring = [(name(i), name((i + 1) % 300)) for i in range(300)]
     chain = [p for i in range(400, 700) for p in ((name(i), name(i + 1)), (name(i + 1), name(i)))]
