@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom import constants as C
 from codeloom.functions import text
+from codeloom.operators.running import running_sums
+from codeloom.session import stored
 
 
 def call_keys(prompt_log: DataFrame) -> DataFrame:
@@ -143,23 +144,29 @@ def rate_limit_audit(
 ) -> DataFrame:
     """Each call with the requests and input tokens of the minute that ends with it.
 
-    A range window over a model's whole log would put a hot model into one
-    task, so the log is cut into spans of ten windows per model. A call also
-    enters the next span when it lies in its lead-in, where it counts but is
-    not reported; no frame reaches further back than that lead-in.
+    What the log has up to a moment less what it had up to a minute before. Calls of
+    one model and moment are added up first; the sums run over bounded parts of the log
+    (``running_sums``), so that a model that makes all the calls is many tasks.
+    Calls without a time are left out.
     """
-    span = 10 * window_seconds
-    micros = F.unix_micros(F.col("started_at").cast("timestamp"))
-    home = F.floor(micros / (span * 1_000_000)).cast("bigint")
-    leads_in = F.floor((micros + window_seconds * 1_000_000) / (span * 1_000_000)).cast("bigint")
-    placed = calls.withColumn("_us", micros).withColumn("_home", home).withColumn(
-        "_span", F.explode(F.array_distinct(F.array(home, leads_in)))
-    )
-    frame = W.partitionBy(*keys, "_span").orderBy("_us").rangeBetween(-window_seconds * 1_000_000, W.currentRow)
-    audited = placed.withColumns({
-        "requests_in_window": F.count(F.lit(1)).over(frame),
-        "tokens_in_window": F.sum("input_tokens").over(frame).cast("bigint"),
-    }).filter(F.col("_span") == F.col("_home")).drop("_us", "_home", "_span")
+    timed = calls.filter(F.col("started_at").isNotNull()).withColumn("_us", F.unix_micros(F.col("started_at").cast("timestamp")))
+    moments = stored(timed.groupBy(*keys, "_us").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("input_tokens").alias("_tokens"), F.count("input_tokens").alias("_known")), "moments")
+    began = F.col("_us") - window_seconds * 1_000_000
+    # Kind 0 stands before all calls of its moment and asks for what came before; kind 1 adds the calls.
+    points = moments.select(*keys, "_us", F.lit(1).alias("_kind"), F.col("_us").alias("_at"), "_n", "_tokens", "_known").unionByName(
+        moments.select(*keys, "_us", F.lit(0).alias("_kind"), began.alias("_at")), allowMissingColumns=True)
+    summed = running_sums(points, list(keys), ["_at", "_kind"], {"_n_up_to": "_n", "_tokens_up_to": "_tokens", "_known_up_to": "_known"})
+    upto = lambda kind, name: F.coalesce(F.max(F.when(F.col("_kind") == kind, F.col(name))), F.lit(0))
+    inside = lambda name: upto(1, name) - upto(0, name)
+    frames = summed.groupBy(*keys, "_us").agg(
+        inside("_n_up_to").cast("bigint").alias("requests_in_window"),
+        F.when(inside("_known_up_to") > 0, inside("_tokens_up_to")).cast("bigint").alias("tokens_in_window"))
+    other = frames.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "_us")], "requests_in_window", "tokens_in_window")
+    same = F.col("_us") == F.col("_of__us")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    audited = timed.join(other, same).select(*calls.columns, "requests_in_window", "tokens_in_window")
     return audited.withColumns({
         "over_requests": F.col("requests_in_window") > requests_per_minute,
         "over_tokens": F.col("tokens_in_window") > tokens_per_minute,

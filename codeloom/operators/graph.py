@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import sort_key
 from codeloom.operators.filters import dir_prefix, match_prefixes
+from codeloom.operators.running import running_sums
 from codeloom.schemas import Graph
 from codeloom.session import stored
 
+# Entries of a node's list in one piece.
+SEGMENT = 1000
+
 
 def import_entries(annotations: DataFrame) -> DataFrame:
     """(repo, path, target): one row per import entry."""
@@ -86,21 +90,29 @@ def from_listed(rows: DataFrame) -> Graph:
     )
 
 
+def segments(graph: Graph, length: int = SEGMENT) -> DataFrame:
+    """(repo, path, direction, segment, others): the sorted lists of all nodes in pieces of ``length`` entries, numbered from 0.
+
+    No list has to fit into a row or a task: places in a list come from running sums
+    over bounded parts of it.
+    """
+    rows = stored(entries(graph).withColumn("_one", F.lit(1)), "entries")
+    placed = running_sums(rows, ["repo", "path", "direction"], ["other"], {"_place": "_one"})
+    segment = F.floor((F.col("_place") - 1) / length).cast("int").alias("segment")
+    return placed.groupBy("repo", "path", "direction", segment).agg(F.sort_array(F.collect_list("other")).alias("others"))
+
+
 def adjacency(graph: Graph) -> DataFrame:
-    """Nested form (repo, path, imports, imported_by) with sorted arrays, as the JSON documents have it.
+    """Nested form (repo, path, imports, imported_by) with whole sorted lists, put together from ``segments``.
 
-    One row per node with one aggregate over nodes and both kinds of entries. A hub
-    is one row here; ``listed`` is the form without that limit.
+    A hub is one row here; it suits graphs that are looked at. Stored are ``listed``
+    rows or ``segments``.
     """
-    rows = (
-        graph.nodes.select("repo", "path")
-        .unionByName(graph.imports, allowMissingColumns=True)
-        .unionByName(graph.importers, allowMissingColumns=True)
-    )
-    return rows.groupBy("repo", "path").agg(
-        F.sort_array(F.collect_list("target")).alias("imports"),
-        F.sort_array(F.collect_list("importer")).alias("imported_by"),
-    )
+    pieces = segments(graph).groupBy("repo", "path", "direction").agg(
+        F.flatten(F.array_sort(F.collect_list(F.struct("segment", "others")))["others"]).alias("others"))
+    of = lambda direction: F.coalesce(F.max(F.when(F.col("direction") == direction, F.col("others"))), F.array().cast("array<string>"))
+    rows = graph.nodes.select("repo", "path").unionByName(pieces, allowMissingColumns=True)
+    return rows.groupBy("repo", "path").agg(of("imports").alias("imports"), of("imported_by").alias("imported_by"))
 
 
 def from_adjacency(nested: DataFrame) -> Graph:

@@ -130,6 +130,16 @@ def build(w):
     return G.listed(G.build_graph(w.annotations()))
 
 
+@query("f1_segments", """
+    select repo, path, direction, cast((place - 1) // 3 as int) as segment, string_agg(other, '|' order by other) as others from (
+        select *, row_number() over (partition by repo, path, direction order by other) as place from (
+            select repo, src as path, 'imports' as direction, dst as other from v_edges
+            union all select e.repo, e.dst, 'imported_by', e.src from v_edges e join v_files f on f.repo = e.repo and f.path = e.dst)) group by 1, 2, 3, 4""")
+def segments(w):
+    """The lists of all nodes in pieces of three entries."""
+    return G.segments(w.graph(), 3).withColumn("others", F.array_join("others", "|"))
+
+
 @query("f1_adjacency", """
     select f.repo, f.path, coalesce(i.l, '') as imports, coalesce(r.l, '') as imported_by from v_files f
     left join (select repo, src, string_agg(dst, '|' order by dst) as l from v_edges group by all) i on i.repo = f.repo and i.src = f.path
