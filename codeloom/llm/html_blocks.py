@@ -2,9 +2,11 @@
 
 A page is cut into text blocks at block-level tags. A block is described by its
 words and link density and those of its neighbours, by what it is (heading, list
-item) and by the landmarks it stands in: elements and class names that announce
-content or page furniture. A tree grown on a small labelled table of example
-pages decides which blocks are main text.
+item) and by the landmarks it stands in: elements and class names that
+announce content or page furniture. Landmarks are features among the others, none
+decides on its own, and a word that is only a part of a name, as in ``has-comments``,
+is another feature than the name itself. A tree grown on a small labelled table
+of example pages decides which blocks are main text.
 """
 
 from __future__ import annotations
@@ -23,20 +25,25 @@ from codeloom.llm.common import without
 from codeloom.llm.html_examples import example_pages
 
 # What the names of elements, classes and roles announce.
-SKIPPED = "script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|button|title|audio|video"
+SKIPPED = "script|style|noscript|template|iframe|object|svg|canvas|textarea|select|button|title|audio|video"
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = BLOCKS - frozenset("dd dt hr h1 h2 h3 h4 h5 h6 li optgroup option p td th tr html head body".split()) | {"span"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+FURNITURE_TAGS = frozenset("nav footer aside menu dialog".split())
+FORM_TAGS = frozenset("form fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs byline captcha comment comments commentlist "
-    "consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr header infobar legal login masthead menu menubar modal nav navbar "
+    "consent contentinfo cookie cookies copyright disclaimer disqus footer gdpr infobar legal login masthead menu menubar modal nav navbar "
     "navigation newsletter notice notification outbrain overlay pager pagination paywall popup privacy promo promoted promotion related replies reply "
     "search share sharing sidebar signup sitemap skip social sponsor sponsored subscribe tags taboola teaser toolbar topbar widget widgets".split())
 CONTENT_WORDS = frozenset("article articlebody content entry maincontent post posttext story storybody main".split())
+# Say nothing of their own next to one of the words above.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box button buttons container form global group inner item left link links list middle outer page panel primary right "
+    "secondary section site slot text top unit wrap wrapper".split())
 
 _TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{SKIPPED})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</(?P=raw)\s*+>|\Z)|\Z)"
@@ -47,20 +54,33 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden
 _PART = re.compile(r"[a-z]+")
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "heading", "item",
-            "furniture", "content", "furniture_inside_content", "page_header", "ends_sentence")
+            "furniture", "furniture_part", "form", "content", "content_part",
+            "nearest_is_furniture", "furniture_around_content", "page_header")
 
 
 def _announces(name: str, rest: str) -> str:
-    """'f' for page furniture, 'c' for content, 'h' for a header element, '' for neither."""
+    """What an element announces, weakest first: q and p for content and furniture as a part of a longer name, h for
+    a header, m for a form, f for furniture and c for content as a name of its own or an element; '' for nothing.
+
+    An element that names both is content, with furniture as a part.
+    """
     if name in FURNITURE_TAGS or rest and _HIDDEN.search(rest):
         return "f"
+    found = {"c"} if name in CONTENT_TAGS else {"h"} if name == "header" else {"m"} if name in FORM_TAGS else set()
     if rest:
-        words = {w for m in _NAMES.finditer(rest) for w in _PART.findall((m[1] or m[2] or m[3] or "").lower())}
-        if words & FURNITURE_WORDS:
-            return "f"
-        if words & CONTENT_WORDS:
-            return "c"
-    return "c" if name in CONTENT_TAGS else "h" if name == "header" else ""
+        for m in _NAMES.finditer(rest):
+            for one in (m[1] or m[2] or m[3] or "").lower().split():
+                parts = set(_PART.findall(one))
+                bad, good = parts & FURNITURE_WORDS, parts & CONTENT_WORDS
+                if "header" in parts:
+                    found |= {"h", "q"} if good else {"h"}
+                elif bad:
+                    found.add("f" if parts <= FURNITURE_WORDS | CONTENT_WORDS | NEUTRAL_WORDS else "p")
+                elif good:
+                    found.add("c" if parts <= CONTENT_WORDS | NEUTRAL_WORDS else "q")
+    if {"c", "f"} <= found:
+        found = found - {"f"} | {"p"}
+    return "".join(z for z in "qphmfc" if z in found)
 
 
 def blocks(page: str | None) -> list[tuple]:
@@ -129,10 +149,18 @@ def features(found: list[tuple]) -> np.ndarray:
     density = np.array([min(b[2] / b[1], 1.0) for b in found], "f8")
     ahead = lambda x: np.r_[x[1:], 0][:n]
     behind = lambda x: np.r_[0, x[:-1]][:n]
-    flags = np.array([
-        (b[3], b[4], "f" in b[5], "c" in b[5], "f" in b[5].partition("c")[2], "h" in b[5] and "c" not in b[5].partition("h")[0], b[0][-1] in ".!?…\"”»")
-        for b in found], "f8").reshape(n, 7)
-    return np.column_stack([words, density, behind(words), behind(density), ahead(words), ahead(density), flags])
+    flags = np.array([(b[3], b[4]) for b in found], "f8").reshape(n, 2)
+    marks = np.array([_marks(b[5]) for b in found], "f8").reshape(n, 8)
+    return np.column_stack([
+        words, density, behind(words), behind(density), ahead(words), ahead(density), flags, marks])
+
+
+@lru_cache(maxsize=4096)
+def _marks(zones: str) -> tuple:
+    """Features of the landmarks a block stands in, outermost first."""
+    strong = [z for z in zones if z in "fmc"]
+    return ("f" in zones, "p" in zones, "m" in zones, "c" in zones, "q" in zones, bool(strong) and strong[-1] != "c",
+            "f" in zones.partition("c")[0] and "c" in zones, "h" in zones and not set("cq") & set(zones.partition("h")[0]))
 
 
 # The tree

@@ -16,6 +16,7 @@ _WORDS = (
 
 _MENU = "<nav><ul><li><a href='/a'>{1-2}</a></li><li><a href='/b'>{1}</a></li><li><a href='/c'>{1-3}</a></li><li><a href='/d'>{1}</a></li></ul></nav>"
 _PARAGRAPHS = "<p>§{1-3.}</p><p>§{20-80.}</p><p>§{5-12.} <a href='/x'>{1-3}</a> {4-30.}</p><p>§{1.}</p><p>§{30-90.} {10-20.}</p>"
+_PARAGRAPHS += "<p>§<a href='/y'>{1-9}</a></p><p>§<a href='/z'>{1-5}</a> {1-3}</p><h3>§<a href='/w'>{1-6}</a></h3><p>§{1-3}</p><p>§<a href='/v'>{2-20.}</a></p><p>§{1-2}</p>"
 
 TEMPLATES = [
     # Article element between menu, advert and footer.
@@ -41,6 +42,32 @@ TEMPLATES = [
     "<body><div class='widget sidebar'><article><h2>{2-6}</h2><p>{8-40.}</p></article></div><div id='content'><h1>§{2-7}</h1><table><tr><td>§{1-4}</td><td>§{2-9}</td></tr></table>"
     f"{_PARAGRAPHS}<dl><dt>§{{1-2}}</dt><dd>§{{3-20.}}</dd></dl><pre>§{{4-30}}</pre></div><div class='popup'><h2>{{2-5}}</h2><p>{{5-30.}}</p></div>"
     "<div class='legal'><p>{10-50.}</p></div></body>",
+    # Names that hold furniture words without being furniture: on the article, around it, and on its parts.
+    f"<body class='has-sidebar'>{_MENU}<article class='post has-comments'><div class='entry-header'><h1>§{{2-8}}</h1></div>{_PARAGRAPHS}</article>"
+    "<div class='comments'><p>{4-50.}</p></div></body>",
+    f"<body><div id='content' class='sidebar-right'><h1>§{{2-8}}</h1>{_PARAGRAPHS}</div><div class='sidebar'><p>{{5-40.}}</p><a href='/a'>{{2-5}}</a></div></body>",
+    f"<body><form id='mainform'>{_MENU}<article><h1>§{{2-8}}</h1>{_PARAGRAPHS}</article><div class='newsletter-signup'><p>{{4-30.}}</p></div></form></body>",
+    f"<body><main class='page with-sidebar'><h2>§{{2-8}}</h2>{_PARAGRAPHS}</main><aside><p>{{4-50.}}</p></aside></body>",
+    f"<body><div class='article-share-enabled'><h1>§{{2-8}}</h1><p>§{{20-80.}}</p><p>§{{8-60.}}</p></div><div class='share-buttons'><a href='/s'>{{1}}</a></div></body>",
+    f"<body><div id='search-results-page'>{_MENU}<h1>§{{2-8}}</h1><p>§{{20-80.}}</p><p>§{{15-60.}}</p><p>§{{9-50.}}</p></div><div>{{1-4}}</div></body>",
+    "<body><form action='/s'><input name='q'><p>{2-8}</p><label>{1-3}</label></form><div class='c1'><h1>§{2-8}</h1><p>§{20-80.}</p><p>§{12-60.}</p></div></body>",
+    # No landmarks: the layout is told by lengths, links and neighbours alone.
+    "<body><div class='r1'><a href='/'>{1-2}</a></div><div class='r2'><ul><li><a href='/1'>{1-2}</a></li><li><a href='/2'>{1-3}</a></li><li><a href='/3'>{1}</a></li></ul></div>"
+    "<div class='r3'><h1>§{3-9}</h1><p>§{20-90.}</p><p>§{10-40.} <a href='/x'>{1-3}</a> {6-30.}</p><h2>§{1-5}</h2><p>§{25-70.}</p></div>"
+    "<div class='r4'><p><a href='/n'>{3-8}</a></p><p><a href='/m'>{3-8}</a></p></div><div class='r5'>{2-5}</div></body>",
+    "<table><tr><td><a href='/'>{1}</a><br><a href='/b'>{1-2}</a></td><td><h2>§{2-7}</h2><p>§{18-60.}</p><p>§{18-90.}</p></td></tr><tr><td>{1-3}</td><td>{2-4}</td></tr></table>",
+    "<div><span>{1-2}</span></div><div><p>§{15-60.}</p><p>§{3-9.}</p><p>§{20-60.}</p><p>§{12-50.}</p></div><div><a href='/1'>{1}</a> <a href='/2'>{1}</a> <a href='/3'>{1-2}</a></div>",
+    "<div><h3>{1-3}</h3><ul><li><a href='/1'>{2-9.}</a></li><li><a href='/2'>{3-9.}</a></li><li><a href='/3'>{2-8}</a></li></ul></div>"
+    "<div><h1>§{3-9}</h1><p>§{20-80}</p><p>§{2-9}</p><p>§{15-60.}</p><p>§{1-4.}</p><p>§{30-60.}</p></div><div><h3>{1-4}</h3><p><a href='/4'>{8-20.}</a></p><p><a href='/5'>{8-25.}</a></p></div>",
+    "<div><a href='/'>{1-3}</a></div><div><h2>§{2-8}</h2><p>§{12-40.} <a href='/q'>{1-4}</a> {2-9}</p><p>§{10-70.}</p></div><div><h2>{1-4}</h2><p><a href='/t'>{4-12.}</a> {1-3}</p>"
+    "<h2>{1-4}</h2><p><a href='/u'>{4-12.}</a></p></div><p>{1-3} <a href='/w'>{1-2}</a></p>",
+    f"<body>{_MENU}<div class='entry-header'><h1>§{{1-6}}</h1></div><div class='entry-content'>{_PARAGRAPHS}</div><div class='site-footer'>{{2-9.}}</div></body>",
+    "<div><h1>§{1-3}</h1><p>§{15-60.}</p><h3>§{1-2}</h3><p>§{15-90.}</p><h3>§{1-3}</h3><p>§{10-50.}</p></div><div><a href='/a'>{1-2}</a></div>",
+    "<div class='post-header'><h2>§{1-4}</h2></div><div><p>§{15-60.}</p><p>§{12-50.}</p></div>",
+    # Hardly any page at all.
+    "§{1-9}", "§{3-14.}", "§{20-200.}", "<h1>§{1-6}</h1><p>§{3-14.}</p>", "<p>§{3-30.}</p><p>§{3-30.}</p>", "<div>§{4-40.}</div>",
+    "<h2>§{2-8}</h2><p>§{8-40.}</p><p>§{1-9.}</p>",
+    "<a href='/'>{1-2}</a><p>§{6-30.}</p><p>§{10-50.}</p>",
 ]
 
 _SLOT = re.compile(r"\{(\d+)(?:-(\d+))?(\.?)\}")
