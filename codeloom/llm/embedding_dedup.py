@@ -1,19 +1,20 @@
 """Near-duplicate embeddings through a pivot-permutation index.
 
 Reference points (pivots) are chosen from a bounded sample of the vectors, none
-close to another. A vector is described by its nearest pivots in order. Every
-vector stands in the inverted lists of the rarest of its pivots: two vectors that
-share at least ``SHARED`` of their k nearest pivots share one of the rarest
-``k - SHARED + 1``. Within a list, vectors that share enough pivots are
-compared by cosine in double precision.
-
-Lists are cut into blocks of a fixed number of vectors and every two blocks of a
-list are a group of their own, so that a list of any length spreads over many
-bounded tasks. A pair is compared in the first list it shares and nowhere else.
+close to another. A vector is described by its nearest pivots in order and stands in
+the inverted lists of the first few of them. Two vectors of a list that share
+enough of their nearest pivots are verified: first by their vectors rounded to bytes,
+with a bound on what the rounding can change, and, where that leaves the threshold
+open, by the cosine in double precision.
+
+Lists hold ids, pivots and rounded vectors, less than half the size of single floats. They are cut
+into blocks of a fixed number of vectors and every two blocks of a list are a group
+of their own, so that a list of any length spreads over many bounded tasks. A pair
+counts in the first list it shares and nowhere else. A group hands on a row per
+vector, with its number of links and the vector its links lead to, not a row per link.
 Equal vectors are described once, with a count. The number of pivots grows with
-the square root of the number of vectors, up to ``MOST_PIVOTS``; the more pivots,
-the fewer of its nearest two similar vectors share, so more of them are kept
-(``number_of_nearest``).
+the square root of the number of vectors, up to ``MOST_PIVOTS``; the more pivots, the
+more lists a vector stands in (``number_of_lists``).
 """
 
 from __future__ import annotations
@@ -28,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, components
+from codeloom.llm.common import Scratch, components, join_unique
 
 THRESHOLD = 0.9
-# Nearest pivots of a vector among the fewest pivots; see number_of_nearest.
-NEAREST, SHARED = 10, 3
-FEWEST_PIVOTS, MOST_PIVOTS = 64, 8192
+# Nearest pivots that describe a vector, and how many of them two similar vectors share.
+NEAREST, SHARED = 16, 2
+# Lists a vector stands in among the fewest pivots; see number_of_lists.
+LISTS = 6
+FEWEST_PIVOTS, MOST_PIVOTS = 64, 32768
 # Cosine above which two pivots would tell the same.
 TOO_CLOSE = 0.7
-BLOCK = 1024
+BLOCK = 4096
 
 
 def unit_vector(values) -> np.ndarray | None:
@@ -72,12 +75,12 @@ def number_of_pivots(n: int) -> int:
     return int(min(max(4 * n ** 0.5, FEWEST_PIVOTS), MOST_PIVOTS))
 
 
-def number_of_nearest(pivots: int) -> int:
-    """How many nearest pivots describe a vector: ``NEAREST``, and 8 more for every 128 times as many pivots.
+def number_of_lists(pivots: int) -> int:
+    """Of how many of its nearest pivots a vector stands in the lists: ``LISTS``, and one more for every 4 times as many pivots.
 
-    Keeps the recall at cosine 0.9 in 64 dimensions where it is with the fewest pivots.
+    Keeps the recall at cosine 0.9 in 64 dimensions above 0.99 up to ``MOST_PIVOTS``.
     """
-    return NEAREST + max(math.ceil(8 / 7 * math.log2(max(pivots, 1) / FEWEST_PIVOTS)), 0)
+    return LISTS + max(math.ceil(math.log2(max(pivots, 1) / FEWEST_PIVOTS) / 2), 0)
 
 
 def choose_pivots(sample: np.ndarray, wanted: int) -> np.ndarray:
@@ -113,123 +116,188 @@ def _matrix(column, dim: int) -> np.ndarray:
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
-def near_links(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float, nearest: int | None, shared: int) -> DataFrame:
-    """(a, b, n_a, n_b): pairs of distinct vectors with at least that cosine; ``vectors`` has id, vector, n, all of length ``dim``."""
+def rounded(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unit vectors as bytes with a scale each, and the length of what rounding took away."""
+    scale = (np.abs(units).max(axis=1) / 126.9).astype("f4")
+    codes = np.rint(units / scale[:, None]).astype("i1")
+    off = units - codes * scale[:, None].astype("f8")
+    return codes, scale, np.sqrt(np.einsum("ij,ij->i", off, off))
+
+
+def _entry(dim: int, nearest: int) -> np.dtype:
+    """What a list holds of a vector besides its id."""
+    return np.dtype([("near", "<u2", (nearest,)), ("code", "i1", (dim,)), ("scale", "<f4"), ("off", "<f4"), ("n", "<u4")])
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of n things that links (a, b) connect each one to."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        np.minimum.at(after, root[a], low)
+        np.minimum.at(after, root[b], low)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after
+
+
+def link_group(ids: np.ndarray, entries: np.ndarray, left: np.ndarray, right: np.ndarray, pivot: int, lists: int, shared: int, threshold: float):
+    """Links between the vectors ``left`` and ``right`` of one list: ((id, id it leads to, rows linked), (id, id) left open).
+
+    ``left`` is ``right`` for the pairs inside a block. Pairs that share fewer pivots, or
+    a list that comes before this one, are left out.
+    """
+    codes, scale, off = entries["code"].astype("f4"), entries["scale"].astype("f8"), entries["off"].astype("f8")
+    surely, maybe = [], []
+    for at in range(0, len(left), 256):
+        i = left[at:at + 256]
+        about = (codes[i] @ codes[right].T) * scale[i][:, None] * scale[right][None, :]
+        # What rounding and single precision can change.
+        slack = off[i][:, None] * (1 + off[right])[None, :] + off[right][None, :] * (1 + off[i])[:, None] + 4e-6
+        open_ = about + slack >= threshold
+        if left is right:
+            open_ &= i[:, None] < right[None, :]
+        x, y = np.nonzero(open_)
+        for part in range(0, len(x), 1 << 15):
+            u, v = x[part:part + (1 << 15)], y[part:part + (1 << 15)]
+            one, two = entries["near"][i[u]], entries["near"][right[v]]
+            same = one[:, :, None] == two[:, None, :]
+            first = np.where(same[:, :lists, :lists].any(axis=2), one[:, :lists].astype("i4"), np.iinfo("i4").max).min(axis=1)
+            good = (same.any(axis=2).sum(axis=1) >= shared) & (first == pivot)
+            sure = about[u, v] - slack[u, v] >= threshold
+            surely.append(np.column_stack([i[u], right[v]])[good & sure])
+            maybe.append(np.column_stack([i[u], right[v]])[good & ~sure])
+    none = np.zeros((0, 2), "i8")
+    surely, maybe = (np.concatenate([none, *found]) for found in (surely, maybe))
+    a, b = surely.T
+    n = entries["n"].astype("i8")
+    linked = np.bincount(a, n[b], len(ids)) + np.bincount(b, n[a], len(ids))
+    some = np.flatnonzero(linked)
+    roots = _roots(len(ids), a, b)
+    return np.column_stack([ids[some], ids[roots[some]], linked[some].astype("i8")]), ids[maybe]
+
+
+def near_links(vectors: DataFrame, dim: int, scratch: Scratch, threshold: float, lists: int | None, shared: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links that connect what pairs of at least that cosine connect, and (id, linked) rows to be added up.
+
+    ``vectors`` has key, id, vector, n, all of length ``dim``; ids are distinct.
+    """
     wanted = number_of_pivots(vectors.count())
-    # A bounded sample: four candidates per pivot, in the order of a hash of their ids.
-    sample = vectors.select("vector", F.xxhash64("id").alias("o"), "id").orderBy("o", "id").limit(4 * wanted).collect()
+    # A bounded sample: four candidates per pivot, in the order of their keys, which are hashes.
+    sample = vectors.select("vector", "key").orderBy("key").limit(4 * wanted).collect()
     pivots = choose_pivots(_matrix([r["vector"] for r in sample], dim), wanted)
-    nearest = nearest or number_of_nearest(len(pivots))
+    lists = min(lists or number_of_lists(len(pivots)), len(pivots))
+    nearest = min(max(NEAREST, lists), len(pivots))
+    shared = min(shared, nearest)
+    entry = _entry(dim, nearest)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), 1024):
                 part = rows.iloc[at:at + 1024]
-                near = nearest_pivots(_matrix(part["vector"], dim), pivots, nearest)
-                yield part.assign(near=list(near))
-
-    described = scratch.keep(vectors.select("id", "n", "vector").mapInPandas(describe, "id long, n long, vector binary, near array<int>"))
+                units = _matrix(part["vector"], dim)
+                out = np.zeros(len(part), entry)
+                out["near"] = nearest_pivots(units, pivots, nearest)
+                out["code"], out["scale"], out["off"] = rounded(units)
+                out["n"] = part["n"]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "entry": [row.tobytes() for row in out], "near": list(out["near"][:, :lists].astype("i4"))})
+
+    described = scratch.keep(vectors.select("id", "n", "vector").mapInPandas(describe, "id long, entry binary, near array<int>"))
     # One number per pivot.
-    lists = dict(map(tuple, described.select(F.explode("near").alias("p")).groupBy("p").count().collect()))
+    counts = dict(map(tuple, described.select(F.explode("near").alias("p")).groupBy("p").count().collect()))
     sizes = np.zeros(len(pivots), "i8")
-    sizes[list(lists)] = list(lists.values())
-    rank = np.empty(len(pivots), "i8")
-    rank[np.argsort(sizes, kind="stable")] = np.arange(len(pivots))
+    sizes[list(counts)] = list(counts.values())
     blocks = np.maximum(-(-sizes // BLOCK), 1)
-    enough = min(shared, len(pivots))
+    block_of = lambda ids, n: (ids.astype("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype("i8") % n
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each vector under its rarest pivots, once per pair of blocks its block is in."""
+        """Each vector in the lists of its nearest pivots, once per pair of blocks its block is in."""
         for rows in batches:
-            out = []
-            for id_, n, vector, near in rows.itertuples(index=False):
-                rarest = sorted(near, key=rank.__getitem__)[: max(len(near) - enough + 1, 1)]
-                for p in rarest:
-                    count = int(blocks[p])
-                    own = (int(id_) * 0x9E3779B97F4A7C15 >> 20) % (1 << 44) % count
-                    for other in range(count):
-                        out.append((int(p), min(own, other), max(own, other), own, id_, n, vector, near))
-                    if len(out) >= 4096:
-                        yield pd.DataFrame(out, columns=_PLACED)
-                        out = []
-            if out:
-                yield pd.DataFrame(out, columns=_PLACED)
+            for at in range(0, len(rows), 512):
+                part = rows.iloc[at:at + 512]
+                pivot = np.stack(part["near"].to_list()).ravel().astype("i8")
+                at_row = np.repeat(np.arange(len(part)), lists)
+                ids = part["id"].to_numpy()[at_row]
+                own = block_of(ids, blocks[pivot])
+                times = blocks[pivot]
+                ends = np.cumsum(times)
+                other = np.arange(ends[-1]) - np.repeat(ends - times, times)
+                own = np.repeat(own, times)
+                group = np.repeat(pivot, times) << 32 | np.minimum(own, other) << 16 | np.maximum(own, other)
+                yield pd.DataFrame({"group": group, "id": np.repeat(ids, times), "entry": part["entry"].to_numpy()[np.repeat(at_row, times)]})
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        pivot, one, two = int(rows["pivot"].iloc[0]), int(rows["one"].iloc[0]), int(rows["two"].iloc[0])
+        group = int(rows["group"].iloc[0])
+        pivot, one, two = group >> 32, group >> 16 & 0xFFFF, group & 0xFFFF
         rows = rows.sort_values("id")
-        ids, n, own = rows["id"].to_numpy(), rows["n"].to_numpy(), rows["own"].to_numpy()
-        units, near = _matrix(rows["vector"], dim), np.stack(rows["near"].to_list())
-        member = np.zeros((len(rows), len(pivots)), "f4")
-        np.put_along_axis(member, near, 1, axis=1)
-        # The lists each vector stands in that come before this one.
-        rarest = np.argsort(rank[near], axis=1)[:, : max(near.shape[1] - enough + 1, 1)]
-        before = np.zeros_like(member)
-        np.put_along_axis(before, np.take_along_axis(near, rarest, axis=1), 1, axis=1)
-        before = before[:, before.any(axis=0) & (rank < rank[pivot])]
-        member = member[:, member.any(axis=0)]
-        found = []
-        left = np.flatnonzero(own == one) if one != two else np.arange(len(rows))
-        right = np.flatnonzero(own == two) if one != two else left
-        for at in range(0, len(left), 512):
-            i = left[at:at + 512]
-            close = (member[i] @ member[right].T >= enough) & (before[i] @ before[right].T == 0) & (units[i] @ units[right].T >= threshold - 1e-9)
-            if one == two:
-                close &= i[:, None] < right[None, :]
-            a, b = np.nonzero(close)
-            a, b = i[a], right[b]
-            if not len(a):
-                continue
-            cosine = np.einsum("ij,ij->i", units[a], units[b])
-            found.append(np.column_stack([ids[a], ids[b], n[a], n[b]])[cosine >= threshold])
-        pairs = np.concatenate(found) if found else np.zeros((0, 4), "i8")
-        return pd.DataFrame(pairs, columns=["a", "b", "n_a", "n_b"])
-
-    ddl = "pivot int, one int, two int, own int, id long, n long, vector binary, near array<int>"
-    placed = described.mapInPandas(place, ddl)
-    return placed.groupBy("pivot", "one", "two").applyInPandas(compare, "a long, b long, n_a long, n_b long")
-
-
-_PLACED = ["pivot", "one", "two", "own", "id", "n", "vector", "near"]
+        ids = rows["id"].to_numpy()
+        entries = np.frombuffer(b"".join(rows["entry"]), entry)
+        own = block_of(ids, blocks[pivot])
+        left = np.flatnonzero(own == one)
+        links, left_open = link_group(ids, entries, left, left if one == two else np.flatnonzero(own == two), pivot, lists, shared, threshold)
+        return pd.DataFrame({
+            "a": np.r_[links[:, 0], left_open[:, 0]], "b": np.r_[links[:, 1], left_open[:, 1]],
+            "linked": np.r_[links[:, 2], np.zeros(len(left_open), "i8")]})
+
+    placed = described.mapInPandas(place, "group long, id long, entry binary")
+    found = scratch.keep(placed.groupBy("group").applyInPandas(compare, "a long, b long, linked long"))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), 1024):
+                part = rows.iloc[at:at + 1024]
+                cosine = np.einsum("ij,ij->i", _matrix(part["vector_a"], dim), _matrix(part["vector_b"], dim))
+                yield part.loc[cosine >= threshold, ["a", "b", "n_a", "n_b"]]
+
+    of = lambda end: vectors.select(F.col("id").alias(end), F.col("vector").alias(f"vector_{end}"), F.col("n").alias(f"n_{end}"))
+    verified = scratch.keep(found.filter("linked = 0").select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInPandas(
+        verify, "a long, b long, n_a long, n_b long"))
+    links = found.filter("linked > 0 and a <> b").select("a", "b").unionByName(verified.select("a", "b"))
+    linked = found.filter("linked > 0").select(F.col("a").alias("id"), "linked").unionByName(
+        verified.select(F.col("a").alias("id"), F.col("n_b").alias("linked"))).unionByName(
+        verified.select(F.col("b").alias("id"), F.col("n_a").alias("linked")))
+    return links, linked
 
 
 def near_duplicates(
     embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD,
-    nearest: int | None = None, shared: int = SHARED,
+    lists: int | None = None, shared: int = SHARED,
 ) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row.
+    """(id, n_links, component_id, kept) for every row; ids are integers.
 
     ``n_links`` counts the other rows whose vector has at least that cosine, copies
     included; ``component_id`` is the smallest id reachable by links, ``kept`` whether
     that is the own id. A vector that is null, empty, zero or not finite throughout
     links with nothing, and neither do vectors of different lengths. A row with a
     null id has a null component unless links reach an id. An empty table gives no rows.
-    ``nearest`` follows the number of pivots unless given.
+    ``lists`` follows the number of pivots unless given.
     """
     scratch = Scratch(embeddings.sparkSession, "embeddings")
     ddl = "id long, key string, vector binary, dim int"
     units = scratch.keep(embeddings.select(F.col(id_col).cast("long").alias("id"), vector_col).mapInArrow(_units, ddl))
+    # Numbered as they are written: two vectors never share a number.
     classes = scratch.keep(
         units.filter("key is not null").groupBy("key", "dim").agg(F.min("id").alias("first"), F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("n"))
-        .withColumn("id", F.xxhash64("key")))
-    links = None
+        .withColumn("id", F.monotonically_increasing_id()))
+    links = linked = None
     for dim in sorted(r[0] for r in classes.select("dim").distinct().collect()):
-        found = near_links(classes.filter(F.col("dim") == dim).select("id", "n", "vector"), dim, scratch, threshold, nearest, shared)
-        links = found if links is None else links.unionByName(found)
+        found = near_links(classes.filter(F.col("dim") == dim).select("key", "id", "n", "vector"), dim, scratch, threshold, lists, shared)
+        links, linked = found if links is None else (links.unionByName(found[0]), linked.unionByName(found[1]))
+    alone = lambda rows: rows.select(
+        F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     if links is None:
-        nothing = units.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-        return nothing.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
-    links = scratch.keep(links)
-    degree = links.select(F.col("a").alias("id"), F.col("n_b").alias("n")).unionByName(
-        links.select(F.col("b").alias("id"), F.col("n_a").alias("n"))).groupBy("id").agg(F.sum("n").alias("linked"))
-    found = components(links.select("a", "b"), scratch)
-    labelled = classes.join(found, classes["id"] == found["node"], "left").select(
-        "key", "id", "n", "first", F.coalesce("root", "id").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    described = labelled.join(least, "root").join(degree, "id", "left").select(
-        "key", "component_id", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    rows = units.select("id", "key").join(described, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        return alone(units)
+    degree = linked.groupBy("id").agg(F.sum("linked").alias("linked"))
+    roots = scratch.keep(components(links, scratch).select(F.col("node").alias("id"), "root"))
+    reached = scratch.keep(classes.select("id", "key", "first", "n").join(roots.hint("merge"), "id"))
+    least = scratch.keep(reached.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    named = join_unique(reached, least, "root", "members").select("id", "key", "n", "component_id").unionByName(
+        classes.join(roots.select("id").hint("merge"), "id", "left_anti").select("id", "key", "n", F.col("first").alias("component_id")))
+    described = scratch.keep(named.join(degree.hint("merge"), "id", "left").select(
+        "key", "n", "component_id", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")))
+    rows = join_unique(units.filter("key is not null").select("id", "key"), described, "key", "n")
     return rows.select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+        F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id",
+        F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")).unionByName(alone(units.filter("key is null")))
