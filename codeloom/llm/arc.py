@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import Scratch
+from codeloom.sources.spread import dealt
 
 # Documents handed on at once by a reading task, in bytes.
 _CHUNK = 8 << 20
@@ -91,9 +92,9 @@ def write_arc(
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per archive, in a partition of its own as far as there are tasks; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").distinct()
-    return found.repartition("path")
+    """One row per archive, dealt to tasks by the archives' sizes; contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return dealt(Scratch(spark, "archives").keep(found), "path", size="length").select("path")
 
 
 def _open(uri: str):
