@@ -223,9 +223,13 @@ def dependents(queries: DataFrame, graph: Graph, annotations: DataFrame) -> Data
     return importers.join(annotations.drop("imports"), ["repo", "path"])
 
 
-def external_dependents(dir_queries: DataFrame, graph: Graph, annotations: DataFrame) -> DataFrame:
-    """Dependents of the files below each (query_id, repo, prefix), without those below it themselves."""
-    inside = match_prefixes(dir_queries, annotations.select("repo", "path"))
+def external_dependents(dir_queries: DataFrame, graph: Graph, annotations: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """Dependents of the files below each (query_id, repo, prefix), without those below it themselves.
+
+    ``inside`` is what ``match_prefixes`` gives for the queries, if that is at hand.
+    """
+    if inside is None:
+        inside = match_prefixes(dir_queries, annotations.select("repo", "path"))
     targets = inside.join(graph.importers, ["repo", "path"])
     outside = (
         targets.filter(~F.startswith(F.col("importer"), dir_prefix(F.col("prefix"))))

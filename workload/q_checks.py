@@ -14,17 +14,14 @@ from workload.views import Workspace
 # listed (repo, path), fwd (repo, src, dst), rev (repo, path, importer), nodes (repo, path).
 _MISSING = """select a.repo, 'error' as severity, 'missing_import' as type, a.src as file, concat('Imports "', a.dst, '" which is not in the map') as message
     from ann a left join files f on f.repo = a.repo and f.path = a.dst where f.path is null"""
-_ASYMMETRIC = """select e.repo, 'error' as severity, case when n.path is null then 'broken_graph_reference' else 'asymmetric_graph' end as type, e.src as file,
-        case when n.path is null then concat('Graph references "', e.dst, '" which doesn''t exist in graph')
-            else concat('Imports "', e.dst, '" but "', e.dst, '" doesn''t list it in imported_by') end as message
-    from fwd e left join nodes n on n.repo = e.repo and n.path = e.dst
-    left join rev r on r.repo = e.repo and r.path = e.dst and r.importer = e.src where r.path is null
-    union all
-    select r.repo, 'error', case when n.path is null then 'broken_graph_reference' else 'asymmetric_graph' end, r.path,
-        case when n.path is null then concat('Graph lists "', r.importer, '" in imported_by but it doesn''t exist in graph')
-            else concat('Listed in "', r.importer, '" imported_by but "', r.importer, '" doesn''t import it') end
-    from rev r left join nodes n on n.repo = r.repo and n.path = r.importer
-    left join fwd e on e.repo = r.repo and e.src = r.importer and e.dst = r.path where e.src is null"""
+_ASYMMETRIC = """select p.repo, 'error' as severity, case when n.path is null then 'broken_graph_reference' else 'asymmetric_graph' end as type, p.file,
+        case when n.path is null and ahead then concat('Graph references "', p.other, '" which doesn''t exist in graph')
+            when ahead then concat('Imports "', p.other, '" but "', p.other, '" doesn''t list it in imported_by')
+            when n.path is null then concat('Graph lists "', p.other, '" in imported_by but it doesn''t exist in graph')
+            else concat('Listed in "', p.other, '" imported_by but "', p.other, '" doesn''t import it') end as message
+    from (select repo, case when f = 1 then src else dst end as file, case when f = 1 then dst else src end as other, f = 1 as ahead
+        from (select repo, src, dst, max(f) as f, count(*) as n from (select repo, src, dst, 1 as f from fwd union all select repo, importer, path, 0 from rev) group by repo, src, dst)
+        where n = 1) p left join nodes n on n.repo = p.repo and n.path = p.other"""
 _DELETED = """select f.repo, 'error' as severity, 'deleted_file' as type, f.path as file, 'File in map but doesn''t exist on disk' as message
     from files f left join listed l on l.repo = f.repo and l.path = f.path where l.path is null"""
 _MISMATCH = """select n.repo, 'error' as severity, 'graph_annotation_mismatch' as type, n.path as file, 'File exists in graph but not in annotations' as message
