@@ -61,12 +61,16 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True  # their names in a text are ordinary text
-        return found
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def added(self) -> re.Pattern:
+        """Names of added tokens, which a text may hold and only the file's own library knows."""
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        return re.compile("|".join(map(re.escape, names)) or r"(?!)")
 
     def ids(self, text: str) -> list[int]:
-        if self.by_rank is None:
+        if self.by_rank is None or self.added.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.by_rank.encode_ordinary(text)
 
