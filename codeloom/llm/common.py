@@ -63,6 +63,22 @@ def counted_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_unique(rows: DataFrame, one: DataFrame, key: str, count: str, total: int | None = None, most: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``one``, which has a single row per ``key`` and, as ``count``, how many of ``rows`` have it.
+
+    Keys of more than one in ``most`` rows, of which there are ``most`` at the most, are
+    broadcast, so that no task gets all rows of one; the others meet by shuffling.
+    ``one`` is read three times, once less with the ``total`` of its counts; pass a
+    written table or a small aggregate of one.
+    """
+    if total is None:
+        total = one.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(total // most, 1000)
+    often = one.filter(hot)
+    seldom = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(one.filter(~hot).hint("merge"), key)
+    return seldom.unionByName(rows.join(F.broadcast(often), key))
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): every node of the links (a, b), and the smallest node it is connected to.
 
@@ -77,11 +93,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        handed = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = handed.groupBy("u").agg(F.min("v").alias("m"))
-        onward = handed.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        after = scratch.keep(onward.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        # The middle of a star has as many rows as the star has ends.
+        handed = join_unique(both.filter("v > u"), low, "u", "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = handed.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        onward = join_unique(handed, low, "u", "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        after = scratch.keep(onward.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         marked = mark(after)
         scratch.drop(now)
         now, before, seen = after, seen, marked

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import Scratch
 
 TERM = 2
-RADIUS, BLOCKS = 3, 5
+RADIUS, BLOCKS = 3, 6
 _ROWS_AT_ONCE = 1 << 14
 # Odd multipliers of the hashes, and the inverse of the first one modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15

@@ -11,7 +11,7 @@ from codeloom.llm import (
     arc, embedding_dedup, filter_audit, fingerprints, host_reputation, html_blocks, lexical_search, mixing, packing, quality, simhash_dedup, token_trees,
     toxicity,
 )
-from codeloom.llm.common import Scratch, remove, table
+from codeloom.llm.common import Scratch, join_unique, remove, table
 from codeloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,10 +74,10 @@ def op9_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, their likeness, and how many documents lie near each."""
     scratch = Scratch(spark, "fingerprints")
     prints = scratch.keep(fingerprints.fingerprint_documents(table(spark, sf_dir, "documents")))
-    near = fingerprints.within_radius(prints).select("fp", "n_within")
+    near = scratch.keep(fingerprints.within_radius(prints))
     digits = lambda name: F.lpad(F.lower(F.hex(name)), 16, "0")
     alike = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64
-    return prints.join(near, "fp").select(
+    return join_unique(prints, near, "fp", "n_docs").select(
         "doc_id", "n_chars", "edited_sha256", digits("fp").alias("fingerprint"), digits("edited_fp").alias("edited_fingerprint"),
         alike("fp", "edited_fp").alias("near_edited"), alike("fp", "next_fp").alias("near_next"), "n_within")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Scratch, fresh
+from codeloom.llm.common import Scratch, components, fresh, join_unique
 
 RADIUS = 4
 SHINGLE = 4
@@ -91,7 +91,7 @@ def near_links(points: DataFrame, scratch: Scratch, radius: int = RADIUS, pairs_
     entries = points.select(
         "fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in tables))).alias("t", "key"))
     buckets = entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = scratch.keep(entries.join(buckets, ["t", "key"]))
+    shared = scratch.keep(entries.join(buckets.hint("merge"), ["t", "key"]))
 
     few = shared.filter(F.col("n") <= pairs_up_to)
     left = few.select("t", "key", F.col("fp").alias("a"))
@@ -122,29 +122,30 @@ def near_links(points: DataFrame, scratch: Scratch, radius: int = RADIUS, pairs_
                     })
 
     many = shared.filter(F.col("n") > pairs_up_to).select("t", "fp")
-    if many.isEmpty():
+    entries_met = many.count()
+    if not entries_met:
         return pairs
-    # Entries of one bucket lie together after the join; spread them before each becomes hundreds of rows.
-    met = many.repartition("fp").mapInPandas(meeting_points, "t int, point long, fp long, inner boolean")
+    # Entries of one bucket lie together after the join; spread them before each becomes hundreds of rows, by number, as few bytes
+    # would be put together again.
+    spread = max(points.sparkSession.sparkContext.defaultParallelism, -(-entries_met // 50_000))
+    met = many.repartition(spread, "fp").mapInPandas(meeting_points, "t int, point long, fp long, inner boolean")
     hubs = met.filter("inner").groupBy("t", "point").agg(F.min("fp").alias("hub"))
-    through = met.join(hubs, ["t", "point"]).filter("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    through = met.join(hubs.hint("merge"), ["t", "point"]).filter("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     return pairs.unionByName(through.distinct())
 
 
 def _groups(prints: DataFrame, id_col: str, scratch: Scratch, radius: int) -> DataFrame:
-    """(fp, first): for each fingerprint the smallest (id, fp) of its component, ids before null."""
-    points = scratch.keep(prints.groupBy("fp").agg(F.min(id_col).alias("id")))
-    found = components_of(points, scratch, radius)
-    labelled = points.join(found, points["fp"] == found["node"], "left").select(
-        "fp", "id", F.coalesce("root", "fp").alias("root"))
-    first = labelled.groupBy("root").agg(
-        F.min(F.struct(F.col("id").isNull().alias("absent"), "id", "fp")).alias("first"))
-    return scratch.keep(labelled.join(first, "root").select("fp", "first"))
+    """(fp, first, n): for each fingerprint the smallest (id, fp) of its component, ids before null, and its number of rows."""
+    points = scratch.keep(prints.groupBy("fp").agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n")))
+    found = scratch.keep(components_of(points, scratch, radius))
+    own = F.struct(F.col("id").isNull().alias("absent"), "id", "fp")
+    linked = scratch.keep(points.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp"))
+    first = scratch.keep(linked.groupBy("root").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("members")))
+    alone = points.join(found.select(F.col("node").alias("fp")).hint("merge"), "fp", "left_anti").select("fp", own.alias("first"), "n")
+    return scratch.keep(join_unique(linked, first, "root", "members").select("fp", "first", "n").unionByName(alone))
 
 
 def components_of(points: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
-    from codeloom.llm.common import components
-
     return components(near_links(points, scratch, radius), scratch)
 
 
@@ -162,7 +163,7 @@ def simhash_components(
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.keep(docs.select(F.col(id_col), fingerprints(F.col(text_col), shingle).alias("fp")))
     groups = _groups(prints, id_col, scratch, radius)
-    return prints.join(groups, "fp").select(
+    return join_unique(prints, groups, "fp", "n").select(
         id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"))
 
 
