@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from math import exp
 
 import pytest
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from codeloom.llm import mixing, packing, token_trees
@@ -36,8 +37,10 @@ def encode():
 def test_ids_are_those_of_the_tokenizer_file(encode):
     texts = ["", " ", "  a", "a \n b", "x <|endoftext|> y", "a  b", "\n\n a", "don't  can't　 z", "a​ b", "1 2 3 '' 's a's", "a \u0085b", "日本語" * 50, "x" * 3000, LONG[:5000]]
     assert encode.by_rank is not None
+    plain = Tokenizer.from_file(default_path())
     for text in texts:
-        assert encode.ids(text) == encode.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encode.ids(text) == plain.encode(text, add_special_tokens=False).ids
+    assert encode.ids("foo <|endoftext|> bar") != encode.by_rank.encode_ordinary("foo <|endoftext|> bar")
 
 
 # Mixing

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from codeloom.llm import embedding_dedup, fingerprints, simhash_dedup
-from codeloom.llm.common import Scratch, components
+from codeloom.llm.common import Scratch, components, join_unique
 
 DOCS = "doc_id long, text string, lang string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -131,9 +131,59 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(201)} | {i: 1000 for i in range(1000, 1300)}
 
 
+def test_hot_keys_join_like_any_other(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") for i in range(6000)] + [(-1, "none"), (-2, None)], "i long, k string")
+    one = spark.createDataFrame([("hot", 4000, 1.0)] + [(f"k{i}", 1, 2.0) for i in range(0, 6000, 3)], "k string, n long, v double")
+    got = join_unique(rows, one, "k", "n").select("i", "k", "v").collect()
+    assert sorted(r.i for r in got) == list(range(6000)) and all(r.v == (1.0 if r.k == "hot" else 2.0) for r in got)
+    assert join_unique(rows, one.limit(0), "k", "n").count() == 0
+
+
+def test_dense_buckets_are_spread_before_they_grow(spark):
+    """Fingerprints of one bucket are dealt to as many tasks as there are cores, though they are few bytes."""
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i,) for i in {sum(1 << b for b in rng.sample(range(24), 3)) for _ in range(300)}], "fp long")
+    plan = simhash_dedup.near_links(df, Scratch(spark, "t"), 4, 2)._jdf.queryExecution().toString()
+    cores = spark.sparkContext.defaultParallelism
+    assert f"hashpartitioning(fp#" in plan and f", {cores}), REPARTITION_BY_NUM" in plan
+
+
 # Fingerprints
 
 
+def fingerprint_by_hand(text: str | None) -> int:
+    """Every word and pair of words hashed byte by byte in Python's integers; weighted votes bit by bit."""
+    mask = (1 << 64) - 1
+
+    def stir(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    base = 0x9E3779B97F4A7C15
+    words = []
+    for word in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split():
+        words.append(stir(sum((byte + 1) * pow(base, i, 1 << 64) for i, byte in enumerate(word)) & mask))
+    runs = [words[i:i + 2] for i in range(len(words) - 1)] or ([words] if words else [])
+    counts = Counter()
+    for run in runs:
+        h = 0
+        for word in run:
+            h = (h * base + word) & mask
+        counts[stir(h)] += 1
+    weight = {h: float(np.float32(1 + np.log(n))) for h, n in counts.items()}
+    total = sum(weight.values())
+    return sum(1 << b for b in range(64) if counts and 2 * sum(w for h, w in weight.items() if h >> b & 1) > total)
+
+
+def test_fingerprints_by_hand(texts):
+    short = [t for t in texts if len(t or "") < 3000] + ["tab\tand\nline", "a a a a b", "\u00a0 x", "É é"]
+    for text in short:
+        got, want = fingerprints.fingerprint(text), fingerprint_by_hand(text)
+        assert (got ^ want).bit_count() <= 1, text  # sums of single-precision weights may tie differently
+    assert sum(fingerprints.fingerprint(t) == fingerprint_by_hand(t) for t in short) >= len(short) - 2
+
+
 def test_fingerprints_of_edited_texts(spark, docs, texts):
     rows = docs.unionByName(spark.createDataFrame([(None, "no id at all here", None), (50, "dup one", "en"), (50, "dup one", "en")], DOCS))
     got = fingerprints.fingerprint_documents(rows).collect()
@@ -231,9 +281,59 @@ def pairs_of_cosine(cosine: float, n: int, dim: int, seed: int) -> tuple[np.ndar
 def test_similar_vectors_share_pivots_however_many_there_are(pivots):
     a, b = pairs_of_cosine(0.9, 1500, 64, pivots)
     points, _ = pairs_of_cosine(0.9, pivots, 64, 1)
-    near = [embedding_dedup.nearest_pivots(v, points, embedding_dedup.number_of_nearest(pivots)) for v in (a, b)]
-    shared = (near[0][:, :, None] == near[1][:, None, :]).sum(axis=(1, 2))
-    assert np.mean(shared >= embedding_dedup.SHARED) > 0.995
+    near = [embedding_dedup.nearest_pivots(v, points, embedding_dedup.NEAREST) for v in (a, b)]
+    same = near[0][:, :, None] == near[1][:, None, :]
+    lists = embedding_dedup.number_of_lists(pivots)
+    meet = same[:, :lists, :lists].any(axis=(1, 2)) & (same.sum(axis=(1, 2)) >= embedding_dedup.SHARED)
+    assert np.mean(meet) > 0.995
+
+
+def test_rounding_changes_a_cosine_by_no_more_than_the_bound():
+    for cosine in (0.5, 0.9, 0.9999):
+        for dim in (2, 64, 700):
+            a, b = pairs_of_cosine(cosine, 400, dim, dim)
+            one, two = embedding_dedup.rounded(a), embedding_dedup.rounded(b)
+            about = (one[0].astype("f4") * two[0].astype("f4")).sum(axis=1) * one[1] * two[1]
+            slack = one[2] * (1 + two[2]) + two[2] * (1 + one[2])
+            assert (np.abs(about - (a * b).sum(axis=1)) <= slack + 4e-6).all() and slack.max() < 0.1
+
+
+def entries_of(units: np.ndarray, near: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(units), embedding_dedup._entry(units.shape[1], near.shape[1]))
+    out["near"], out["n"] = near, n
+    out["code"], out["scale"], out["off"] = embedding_dedup.rounded(units)
+    return out
+
+
+def test_a_dense_group_hands_on_a_row_per_vector():
+    """All pairs of 700 vectors link: every one is counted, none is a row."""
+    rng = np.random.default_rng(1)
+    units = np.ones((700, 64)) + 0.05 * rng.standard_normal((700, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    ids, n, every = np.arange(100, 800), rng.integers(1, 4, 700), np.arange(700)
+    links, left_open = embedding_dedup.link_group(ids, entries_of(units, np.tile(np.arange(4), (700, 1)), n), every, every, 0, 3, 2, 0.9)
+    assert len(left_open) == 0 and links[:, 0].tolist() == ids.tolist() and set(links[:, 1]) == {100}
+    assert (links[:, 2] == n.sum() - n).all()
+
+
+def test_pairs_count_once_and_open_ones_are_handed_on():
+    a, b = pairs_of_cosine(0.9, 50, 64, 3)
+    near = np.array([[5, 2, 9, 7]] * 50 + [[2, 7, 5, 1]] * 50)
+    both = entries_of(np.concatenate([a, b]), near, np.ones(100, "i8"))
+    ids = np.arange(100)
+    pairs = lambda pivot, lists, shared: embedding_dedup.link_group(ids, both, np.arange(50), np.arange(50, 100), pivot, lists, shared, 0.9)[1].tolist()
+    # Within rounding of the threshold all are open; the first list the two share is that of pivot 2.
+    assert pairs(2, 3, 3) == [[i, 50 + i] for i in range(50)]
+    assert pairs(5, 3, 3) == [] and pairs(2, 3, 4) == [] and pairs(7, 4, 3) == []
+
+
+def test_entries_are_small_and_few():
+    """Bytes of an entry against the 256 of 64 floats, and copies of each vector in all lists together."""
+    assert embedding_dedup._entry(64, embedding_dedup.NEAREST).itemsize == 108
+    for n, copies in ((50_000, 8), (1_280_000, 10), (4_200_000, 20), (67_000_000, 66)):
+        pivots = embedding_dedup.number_of_pivots(n)
+        lists = embedding_dedup.number_of_lists(pivots)
+        assert lists * -(-n * lists // pivots // embedding_dedup.BLOCK) <= copies, n
 
 
 @pytest.mark.parametrize("pivots", [1131, 8192])

@@ -132,7 +132,7 @@ def test_tree_on_examples_it_has_not_seen():
 
 
 @pytest.mark.parametrize("page, want", [
-    (None, ""), ("", ""), ("plain", ""), ("<p></p>", ""), ("<article><h1>T</h1><p>a&amp;b &lt;x&gt; &#233;&nbsp;c<br>d</p></article>", "T\na&b <x> é c d"),
+    (None, ""), ("", ""), ("plain", "plain"), ("<p></p>", ""), ("<article><h1>T</h1><p>a&amp;b &lt;x&gt; &#233;&nbsp;c<br>d</p></article>", "T\na&b <x> é c d"),
     ("<article><p><b>One.<br><p>Two\n\t words<p></article>", "One.\nTwo words"),
     ("<nav><a href='/a'>Menu</a></nav><article><p>x</p><script>var t='</p><p>no';</script><!-- <p>no</p> --><style>p{}</style><p>y</p></article><footer>no</footer>", "x\ny"),
     ("<article><p>one <a href=\"/x>y\">link</a> two</p></article>", "one link two"), ("<article><p>cut off in the mid", "cut off in the mid"),
@@ -143,6 +143,46 @@ def test_main_text(page, want):
     assert text_of(page) == want
 
 
+PARAGRAPHS = [" ".join(f"{w}{i}" for i in range(30)) + "." for w in ("one", "two", "three")]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article class='post has-comments'>{BODY}</article>", PARAGRAPHS),
+    (f"<div id='content' class='sidebar-right'>{BODY}</div>", PARAGRAPHS),
+    (f"<main class='page with-sidebar'>{BODY}</main>", PARAGRAPHS),
+    (f"<form id='aspnetForm'><article>{BODY}</article></form>", PARAGRAPHS),
+    (f"<div class='article-share-enabled'>{BODY}</div>", PARAGRAPHS),
+    (f"<div id='search-results-page'>{BODY}</div>", PARAGRAPHS),
+    (" ".join(PARAGRAPHS), [" ".join(PARAGRAPHS)]),
+    ("<h1>Short notice</h1><p>The office is closed on Monday.</p>", ["Short notice", "The office is closed on Monday."]),
+    (f"<div class='entry-header'><h1>The title</h1></div><div class='entry-content'>{BODY}</div>", ["The title", *PARAGRAPHS]),
+    ("<article><p>Let <math><mi>x</mi> = 1</math> be.</p></article>", ["Let x = 1 be."]),
+    # Furniture by whole names, in whatever order, stays out.
+    (f"<div class='widget sidebar'><p>{PARAGRAPHS[0]}</p></div><article class='has-ads'><p>{PARAGRAPHS[1]}</p></article><div class='site-footer'><p>Some words here.</p></div>",
+     [PARAGRAPHS[1]]),
+    (f"<article><p>{PARAGRAPHS[0]}</p><div class='share-buttons'><a href='/x'>Share this</a></div><div class='ad-slot'>Buy it now.</div></article>", [PARAGRAPHS[0]]),
+])
+def test_landmarks_do_not_decide_alone(page, want):
+    assert text_of(page).split("\n") == want
+
+
+def test_lengths_links_and_neighbours_decide():
+    """On pages the tree has not seen: how many blocks change sides if link densities and neighbours are hidden, by kind of page."""
+    from codeloom.llm.html_examples import example_pages
+
+    tree = html_blocks.default_tree()
+    used = {html_blocks.FEATURES[node[0]] for node in tree if node[0] >= 0}
+    assert used & {"link_density", "link_density_before", "link_density_after"} and used & {"words_before", "words_after"}
+    x = [html_blocks.features([(b[0].replace("§", ""), *b[1:]) for b in html_blocks.blocks(p)]) for p in example_pages(4, seed=77)]
+    landmarks = [html_blocks.FEATURES.index(f) for f in ("furniture", "form", "content", "content_part", "furniture_part")]
+    bare = np.concatenate([f for f in x if not f[:, landmarks].any()])
+    texts = [html_blocks.FEATURES.index(f) for f in ("link_density", "words_before", "link_density_before", "words_after", "link_density_after")]
+    hidden = bare.copy()
+    hidden[:, texts] = 0
+    assert ((html_blocks.shares(tree, bare) >= 0.5) != (html_blocks.shares(tree, hidden) >= 0.5)).mean() > 0.2
+
+
 def test_long_and_broken_pages_take_linear_time():
     import time
 
@@ -185,6 +225,13 @@ def arc_file(version: int, documents: list[bytes]) -> bytes:
     return out
 
 
+def test_archives_are_read_in_many_tasks(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"a{i}.arc").write_bytes(arc_file(1, [b"HTTP/1.0 200 OK\r\n\r\nx"] * 3))
+    found = arc.read_arc(spark, f"file://{tmp_path}").select(F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 36 and len({r.task for r in found}) == spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_documents_of_both_versions(version):
     http = b"HTTP/1.0 404 Not Found\r\nX-Page-Id: 7\r\n\r\n"

@@ -50,6 +50,56 @@ def test_held_out_accuracy(model):
     assert ((0 <= scores) & (scores <= 1)).all()
 
 
+def logit_by_hand(model, words: list[str]) -> float:
+    """The logit of one window, word by word and state by state in double precision."""
+    w = {k: v.astype("f8") for k, v in model.weights.items()}
+    n = toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    mask = (1 << 64) - 1
+
+    def of_word(word):
+        word = toxicity._plain(word)
+        codes = [2, *map(ord, word), 2]
+        grams = []
+        for size in (3, 5):
+            for i in range(len(codes) - size + 1):
+                value = size
+                for c in codes[i:i + size]:
+                    value = (value ^ c) * 0x9E3779B97F4A7C15 & mask
+                    value ^= value >> 29
+                grams.append(value % toxicity.BUCKETS)
+        return np.r_[w["words"][model.vocabulary.get(word, 0)], sum(w["chars"][g] for g in grams) / np.sqrt(len(grams))]
+
+    def passed(inputs, d):
+        h, out = np.zeros(n), []
+        for x in inputs:
+            x = (x @ w["in"][d] if x is not None else 0) + w["bias"][d]
+            mixed = h @ w["state"][d]
+            update, reset = sigmoid(x[:n] + mixed[:n]), sigmoid(x[n:2 * n] + mixed[n:2 * n])
+            new = np.tanh(x[2 * n:] + reset * mixed[2 * n:])
+            h = new + update * (h - new)
+            out.append(h)
+        return out
+
+    inputs = [of_word(x) for x in words] or [None]
+    both = np.array([np.r_[a, b] for a, b in zip(passed(inputs, 0), passed(inputs[::-1], 1)[::-1])])
+    score = np.exp(np.tanh(both @ w["attend"] + w["attend_bias"]) @ w["query"])
+    return float(score / score.sum() @ both @ w["out"] + w["out_bias"][0])
+
+
+def test_scores_by_hand(model):
+    """Whole texts: the highest of all overlapping windows, each computed on its own."""
+    texts = corpus(25, 9)[0] + [None, "", "one", "Grubx!", "\U0001f600 É", "tane " * 100 + "hozzle " + "rilo " * 60]
+    slope, middle = model.scale
+    want = []
+    for text in texts:
+        words = (text or "").split()
+        starts = [0] if len(words) <= 48 else [*range(0, len(words) - 48, 32), len(words) - 48]
+        best = max(logit_by_hand(model, words[a:a + 48]) for a in starts)
+        want.append(1 / (1 + np.exp(-slope * (best - middle))))
+    assert model.scores(texts) == pytest.approx(want, abs=5e-4)
+
+
 def test_unseen_forms_of_a_stem(model):
     clean = "tane rilo musa kedo vipa " * 6
     assert model.scores([clean + "hozzletodi " + clean])[0] > 0.7 > model.scores([clean])[0]
