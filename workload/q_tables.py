@@ -10,7 +10,7 @@ from codeloom.operators import checks
 from codeloom.operators import graph as G
 from codeloom.operators import harvest
 from codeloom.session import scratch_path
-from codeloom.sources import contracts, files, logs, maps
+from codeloom.sources import buckets, contracts, files, logs, maps
 from codeloom.streaming import streams
 from workload.q_calls import append_in_time
 from workload.q_graph import CLEAN, LISTED, MERGED, updated
@@ -257,10 +257,13 @@ def stream_calls(w):
     return w.spark.read.parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "level", "call_count", "total_latency_ms")
 
 
-@query("l3_stream_changes", """
+_UPDATED_MAP = """
     select repo, src as path, 'imports' as direction, dst as other from merged_edges
     union all select distinct e.repo, e.dst, 'imported_by', e.src from merged_edges e join merged m on m.repo = e.repo and m.path = e.dst
-    union all select repo, path, 'lines', cast(line_count as varchar) from merged""", MERGED)
+    union all select repo, path, 'lines', cast(line_count as varchar) from merged"""
+
+
+@query("l3_stream_changes", _UPDATED_MAP, MERGED)
 def stream_changes(w):
     """Two streams with checkpoints of their own, first outdated versions, then the final ones; compacted, the map matches a batch update."""
     first, second, out, base = (scratch_path(w.spark, name) for name in ("changes", "changes", "recorded", "compacted"))
@@ -277,3 +280,33 @@ def stream_changes(w):
     merged, graph = streams.apply_changes(w.spark, merged, graph, out)
     lines = merged.select("repo", "path", F.lit("lines").alias("direction"), F.col("line_count").cast("string").alias("other"))
     return G.entries(graph).unionByName(lines)
+
+
+def shown_map(m):
+    lines = m.annotations().select("repo", "path", F.lit("lines").alias("direction"), F.col("line_count").cast("string").alias("other"))
+    return G.entries(m.graph()).unionByName(lines)
+
+
+@query("f2_update_stored", _UPDATED_MAP, MERGED)
+def update_stored(w):
+    """The map in buckets, brought up to date in place."""
+    m = buckets.store_map(w.annotations(), scratch_path(w.spark, "map"), buckets=64)
+    buckets.update_stored(w.spark, m.location, updated(w), w.gone())
+    return shown_map(m)
+
+
+@query("l3_stream_into_map", _UPDATED_MAP, MERGED)
+def stream_into_map(w):
+    """Outdated and final changes as they arrive, in two runs of one stream, into a map in buckets."""
+    source, state = scratch_path(w.spark, "changes"), scratch_path(w.spark, "state")
+    m = buckets.store_map(w.annotations(), scratch_path(w.spark, "map"), buckets=64)
+    columns = w.annotations().columns
+    new = updated(w).select("repo", "path", F.lit("M").alias("status"), F.struct(*columns).alias("annotation"))
+    gone = w.gone().join(new, ["repo", "path"], "left_anti").select("repo", "path", F.lit("D").alias("status"), F.lit(None).cast(new.schema["annotation"].dataType).alias("annotation"))
+    final = new.unionByName(gone).withColumn("seq", F.lit(2))
+    outdated = new.withColumns({"annotation": F.col("annotation").withField("line_count", F.lit(-1).cast("bigint")), "seq": F.lit(1)})
+    for arrived in (outdated, final):
+        arrived.coalesce(1).write.mode("append").parquet(source)
+        arriving = w.spark.readStream.schema(final.schema).parquet(source)
+        streams.stream_into_map(arriving, m.location, state).awaitTermination()
+    return shown_map(m)
