@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import is_test_path
 from codeloom.operators.cycles import circular_dependencies
-from codeloom.operators.graph import import_entries
-from codeloom.schemas import Graph
+from codeloom.operators.graph import entries, import_entries
+from codeloom.schemas import ISSUE_COLUMNS, Graph
+from codeloom.session import stored
 
 
 def issue(severity: str, kind: str, file: str | Column, message: str | Column) -> list[Column]:
@@ -157,6 +158,55 @@ def structural_issues(
     return union_all(found)
 
 
+def _links(annotations: DataFrame, graph: Graph) -> DataFrame:
+    """(repo, path, other): what the files of a map name in annotations and either list."""
+    noted = import_entries(annotations).withColumnRenamed("target", "other")
+    return entries(graph).select("repo", "path", "other").unionByName(noted)
+
+
+def recheck(
+    issues: DataFrame, changed: DataFrame, before: tuple[DataFrame, Graph], after: tuple[DataFrame, Graph],
+    listing: DataFrame, entrypoints: DataFrame, config_files: DataFrame,
+) -> DataFrame:
+    """The issues after a change, from those before it: only changed files and their neighbours are checked again.
+
+    ``issues`` are what consistency, orphan and export checks found on the map ``before``
+    (annotations and graph). ``changed`` (repo, path) names every file whose annotation,
+    node, listing or role as entry point or configuration differs ``after``. An
+    issue depends on its file, its entries and whether the files they name exist, so
+    those of all other files stand. Import cycles may run through the whole map: issues
+    of that type are handed on as they are. Types that ``issues`` should not have, such as
+    ``no_exports`` for a report without them, are dropped from the result by the caller.
+    """
+    keys = ["repo", "path"]
+    seeds = stored(changed.select(*keys).distinct(), "seeds")
+    as_other = lambda df: df.select("repo", F.col("path").alias("other"))
+    pairs = union_all([_links(*before), _links(*after)])
+    around = union_all([
+        seeds,
+        pairs.join(seeds, keys, "left_semi").select("repo", F.col("other").alias("path")),
+        pairs.join(as_other(seeds), ["repo", "other"], "left_semi").select(*keys),
+    ])
+    near = stored(around.distinct(), "near")
+
+    annotations, graph = after
+    by = lambda df, column: df.join(near.withColumnRenamed("path", column), ["repo", column], "left_semi")
+    # Entries with an end among them, each once, and the files these name.
+    ends = lambda df, other: union_all([by(df, "path"), by(df, other).join(near, keys, "left_anti")]).select(*keys, other)
+    imports, importers = stored(ends(graph.imports, "target"), "imports"), stored(ends(graph.importers, "importer"), "importers")
+    noted = import_entries(by(annotations, "path"))
+    named = union_all([near, *[df.select("repo", F.col(c).alias("path")) for df, c in ((noted, "target"), (imports, "target"), (imports, "path"), (importers, "importer"), (importers, "path"))]])
+    wanted = stored(named.distinct(), "named")
+    files = stored(annotations.join(wanted, keys, "left_semi"), "files")
+    part = Graph(graph.nodes.join(wanted, keys, "left_semi"), imports, importers)
+    found = union_all([
+        consistency_issues(files, part, listing), orphan_files(files, part, entrypoints, config_files), no_exports(files, entrypoints),
+    ])
+    cyclic = F.col("type") == "circular_dependency"
+    local = issues.filter(~cyclic).join(near.withColumnRenamed("path", "file"), ["repo", "file"], "left_anti")
+    return union_all([by(found, "file").select(ISSUE_COLUMNS), local.select(ISSUE_COLUMNS), issues.filter(cyclic).select(ISSUE_COLUMNS)])
+
+
 def issue_summary(issues: DataFrame, fixes: DataFrame | None = None) -> DataFrame:
     """Counts per repository; ``fixes`` are the rows of the repair log among the issues."""
     severity = lambda s: F.count_if(F.col("severity") == s)

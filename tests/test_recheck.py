@@ -1,0 +1,52 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from codeloom.operators import checks
+from codeloom.operators import graph as G
+from codeloom.operators.joins import merge_annotations
+from codeloom.schemas import ANNOTATION, Graph
+from tests.conftest import rows
+
+FILES = [("a", ["b", "lost"], ["x"]), ("b", ["c", "c"]), ("c", ["a"], ["y"]), ("d", []), ("e", ["d"]), ("far", ["away"]), ("entry", ["a"])]
+
+
+def full(annotations, graph, listing, entries, config):
+    return checks.union_all([
+        checks.consistency_issues(annotations, graph, listing), checks.orphan_files(annotations, graph, entries, config), checks.no_exports(annotations, entries)])
+
+
+@pytest.mark.parametrize("changed, gone, unlisted", [
+    ([("b", ["d"], ["z"]), ("lost", [])], [], []),
+    ([("d", ["lost", "e"])], ["c"], ["c"]),
+    ([], ["a", "e"], []),
+    ([("away", ["far"])], [], ["d"]),
+])
+def test_a_recheck_of_a_change_is_a_full_check(spark, notes, graph_of, table, changed, gone, unlisted):
+    old = notes(*FILES)
+    good = G.build_graph(old)
+    # One reverse entry too few, one too many, and one of a file that is not there.
+    importers = good.importers.filter(~((F.col("path") == "c") & (F.col("importer") == "b"))).unionByName(
+        table([("r", "d", "far"), ("r", "b", "ghost")], "repo string, path string, importer string"))
+    before = Graph(good.nodes, good.imports, importers)
+    paths = lambda names: table([("r", n) for n in names], "repo string, path string")
+    listing, entries, config = paths("abcd"), paths(["entry"]), paths(["d"])
+    new = notes(*changed) if changed else spark.createDataFrame([], ANNOTATION)
+    after = merge_annotations(old, new, paths(gone)), G.update_graph(before, new, paths(gone))
+    now = listing.join(paths(unlisted), ["repo", "path"], "left_anti").unionByName(paths(["e", "far", "away"]))
+    seeds = paths([c[0] for c in changed] + gone + unlisted + ["e", "far", "away"])
+    circle = table([("r", "info", "circular_dependency", "a", "a circle")], "repo string, severity string, type string, file string, message string")
+    issues = full(old, before, listing, entries, config).unionByName(circle)
+    got = checks.recheck(issues, seeds, (old, before), after, now, entries, config)
+    assert rows(got) == rows(full(*after, now, entries, config).unionByName(circle))
+
+
+def test_files_far_from_the_change_keep_their_issues_unread(notes, graph_of, table):
+    old = notes(*FILES)
+    g = G.build_graph(old)
+    paths = lambda names: table([("r", n) for n in names], "repo string, path string")
+    made_up = table([("r", "error", "made_up", f, "kept") for f in ("far", "d")], "repo string, severity string, type string, file string, message string")
+    got = checks.recheck(made_up, paths(["e"]), (old, g), (old, g), paths([f[0] for f in FILES]), paths([]), paths([]))
+    assert [r for r in rows(got, "file", "type") if r[1] == "made_up"] == [("far", "made_up")]
+    assert {f for f, t in rows(got, "file", "type") if t != "made_up"} <= {"d", "e"}

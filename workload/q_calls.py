@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import calls
 from codeloom.session import scratch_path
 from codeloom.sources import logs
-from codeloom.streaming import streams
+from codeloom.streaming import rolling, streams
 from workload.q_files import COST, PRICES
 from workload.registry import query
 
@@ -127,3 +127,20 @@ def stream_rate_windows(w):
     rated = streams.rate_windows(arriving, requests_per_minute=2, tokens_per_minute=1000)
     streams.stream_to_table(rated, out, state).awaitTermination()
     return w.spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("l4_stream_rate_limit_audit", """
+    select call_id, requests_in_window, tokens_in_window, requests_in_window > 3 as over_requests, tokens_in_window > 2000 as over_tokens from (
+        select call_id, started_at, count(*) over frame as requests_in_window, cast(sum(input_tokens) over frame as bigint) as tokens_in_window from v_calls
+        window frame as (partition by model order by started_at range between interval 10 minutes preceding and current row))
+    where time_bucket(interval '10 minutes', started_at) + interval '10 minutes' <= (select max(started_at) - interval '10 minutes' from v_calls)""")
+def stream_audit(w):
+    """The audit call by call in keyed state; the stream runs twice from one checkpoint, over two batches each."""
+    source, out, state = (scratch_path(w.spark, name) for name in ("audited", "frames", "state"))
+    log = w.view("v_calls")
+    middle = log.agg(F.percentile_approx("started_at", 0.5)).first()[0]
+    for half in (log.filter(F.col("started_at") < F.lit(middle)), log.filter(F.col("started_at") >= F.lit(middle))):
+        append_in_time(half, source, 2)
+        arriving = w.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        rolling.stream_rate_limit_audit(arriving, out, state, requests_per_minute=3, tokens_per_minute=2000, window_seconds=600).awaitTermination()
+    return w.spark.read.parquet(out).select("call_id", "requests_in_window", "tokens_in_window", "over_requests", "over_tokens")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.operators import checks, cycles, graph, repair
+from codeloom.operators import checks, cycles, graph, joins, repair
 from codeloom.schemas import Graph
-from workload.q_graph import CLEAN
+from codeloom.session import stored
+from workload.q_graph import CLEAN, MERGED, updated
 from workload.registry import query
 from workload.views import Workspace
 
@@ -215,6 +216,29 @@ def validate_unfixed(w):
     return repair.validate_map(*stale(w), fix=False, include_info=True).issues
 
 
+_CHANGED = f"""{MERGED}, files as (select m.repo, m.path, case when u.path is null and export_list <> '' then 1 else 0 end as n_exports
+        from merged m left join u on u.repo = m.repo and u.path = m.path left join v_files f on f.repo = m.repo and f.path = m.path),
+    nodes as (select repo, path from merged), listed as (select * from v_listing), fwd as (select repo, src, dst from merged_edges),
+    ann as (select repo, src, dst from ue union all select e.repo, e.src, e.dst from v_edges e join merged m on m.repo = e.repo and m.path = e.src
+        where not exists (select 1 from u where u.repo = e.repo and u.path = e.src)),
+    rev as (select r.repo, r.path, r.importer from v_importers r where not exists (select 1 from u where u.repo = r.repo and u.path = r.importer)
+            and not exists (select 1 from v_gone g where g.repo = r.repo and g.path in (r.path, r.importer))
+        union all select e.repo, e.dst, e.src from ue e join merged m on m.repo = e.repo and m.path = e.dst
+        union all select e.repo, e.dst, e.src from merged_edges e join u on u.repo = e.repo and u.path = e.dst left join v_files f on f.repo = e.repo and f.path = e.dst
+        where f.path is null and not exists (select 1 from u x where x.repo = e.repo and x.path = e.src))"""
+
+
+@query("i14_recheck", " union all ".join(f"select * from ({s})" for s in (_MISSING, _ASYMMETRIC, _DELETED, _MISMATCH, _ORPHANS, _SILENT)), _CHANGED)
+def recheck(w):
+    """The issues of the map before a change, brought up to date with it."""
+    files, old, listing, entries, config = stale(w)
+    found = checks.union_all([checks.consistency_issues(files, old, listing), checks.structural_issues(files, old, entries, config, False), checks.no_exports(files, entries)])
+    new, gone = updated(w), w.gone()
+    after = stored(joins.merge_annotations(files, new, gone)), Graph(*[stored(t) for t in graph.update_graph(old, new, gone)])
+    changed = new.select("repo", "path").unionByName(gone.select("repo", "path"))
+    return checks.recheck(stored(found), changed, (files, old), after, listing, entries, config)
+
+
 @query("g7_issue_summary", """
     select repo, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as info,
         count(*) as total, count(*) filter (severity <> 'info') as requires_attention,
