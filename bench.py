@@ -65,7 +65,7 @@ def main() -> None:
     corpus = Workspace(spark, sf_dir)
     corpus.graph()
     corpus.importers()
-    corpus.derived("listing", lambda: corpus.view("v_listing"))
+    corpus.listing()
     corpus.derived("source", lambda: corpus.view("v_source"))
     seconds = {"corpus": round(time.time() - start, 3)}
     for name in (n for n in names if n != "stored_map"):
