@@ -114,6 +114,20 @@ def test_chain_of_many_small_components(spark, table, monkeypatch):
     assert len(written) < 30
 
 
+@pytest.mark.parametrize("whole, tables", [(12, 12), (0, 1000)])
+def test_scattered_ring(table, monkeypatch, whole, tables):
+    """Files of a ring lie in other parts than their neighbours: repositories whole in the end, or label rounds if they are too large for that."""
+    monkeypatch.setattr(cycles, "PART_EDGES", 20)
+    monkeypatch.setattr(cycles, "WHOLE_PARTS", whole, raising=False)
+    written, keep = [], cycles.stored
+    monkeypatch.setattr(cycles, "stored", lambda df, *a: written.append(1) or keep(df, *a))
+    order = [f"n{i * 37 % 101:03d}" for i in range(101)]
+    imports = table([("r", a, b) for a, b in zip(order, [*order[1:], order[0]])], "repo string, path string, target string")
+    found = cycles.cycle_members(Graph(imports.select("repo", "path"), imports, imports)).collect()
+    assert {tuple(x) for x in found} == {("r", "n000", n) for n in order} and len(found) == 101
+    assert len(written) < tables
+
+
 @pytest.mark.parametrize("part", [100_000, 70])
 def test_long_cycles(spark, table, monkeypatch, part):
     """A ring, a two-way chain and a tail of hundreds of files each, in two repositories."""
