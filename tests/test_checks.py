@@ -174,3 +174,25 @@ def test_validation(notes, graph_of, paths):
     assert raw.summary.first().auto_fixed == 0
     assert {r.type: r.issues for r in checks.issues_by_type(raw.issues).collect()}["no_exports"] == 2
     assert {r.file: r.issues for r in checks.issues_by_file(raw.issues).collect()} == {"a": 4, "b": 1}
+
+
+def test_consistency_is_the_four_checks_together(spark, table, graph_of):
+    """Odd rows included: repeated files, entries and nodes, missing paths, targets and repositories."""
+    some = [None, "a", "b", "c", "ghost"]
+    draw = random.Random(11)
+    repo = lambda: draw.choice(["r", "r", "r", None])
+    files = table(
+        [(repo(), draw.choice(some), [draw.choice(some) for _ in range(draw.randrange(4))]) for _ in range(30)] + [("s", "a", None)],
+        "repo string, path string, imports array<string>")
+    flat = lambda n, *names: table([(repo(), *[draw.choice(some) for _ in names]) for _ in range(n)], ", ".join(f"{c} string" for c in ("repo", *names)))
+    g = Graph(flat(6, "path"), flat(25, "path", "target"), flat(25, "path", "importer"))
+    listing = flat(4, "path")
+    together = checks.consistency_issues(files, g, listing)
+    apart = checks.union_all([
+        checks.missing_imports(files), checks.asymmetric_edges(g), checks.deleted_files(files, listing), checks.graph_annotation_mismatch(g, files)])
+    shown = lambda df: sorted(map(str, df.select(apart.columns).collect()))
+    assert shown(together) == shown(apart) and {r.type for r in apart.collect()} == {
+        "missing_import", "asymmetric_graph", "broken_graph_reference", "deleted_file", "graph_annotation_mismatch"}
+    # Three lists of entries and three of files, counted once each.
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("explode(imports") == 1
