@@ -7,6 +7,7 @@ import pytest
 from codeloom.operators import checks, cycles, repair
 from codeloom.operators.graph import build_graph
 from codeloom.schemas import Graph
+from codeloom.session import stored
 from conftest import rows
 
 PATHS = "repo string, path string"
@@ -196,3 +197,16 @@ def test_consistency_is_the_four_checks_together(spark, table, graph_of):
     # Three lists of entries and three of files, counted once each.
     plan = together._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("explode(imports") == 1
+
+
+def test_repairs_look_files_up_in_the_listing_once(notes, graph_of, paths):
+    """What several repaired tables read is a table by then; the listing is not read again for each."""
+    files = notes(("a", ["b", "gone", "lost"]), ("b", ["a"]), ("gone", ["a"]))
+    g = graph_of({"a": (["b", "gone", "lost"], ["b", "gone"]), "b": (["a"], []), "gone": (["a"], ["a"])})
+    listing = stored(paths("a", "b"), "listing")
+    fixed = repair.autofix(files, g, listing)
+    for df in (fixed.log, fixed.annotations, *fixed.graph):
+        assert not any("codeloom-listing" in name for name in df.inputFiles())
+    assert rows(fixed.log, "type", "file") == [
+        ("asymmetric_graph", "b"), ("deleted_file", "gone"), ("missing_import", "a"), ("missing_import", "a")]
+    assert rows(fixed.graph.imports, "path", "target") == [("a", "b"), ("b", "a")] == rows(fixed.graph.importers, "path", "importer")
