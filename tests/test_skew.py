@@ -77,3 +77,16 @@ def test_blank_scopes_name_no_files(spark):
     files = spark.createDataFrame([("r", "a.ts")], "repo string, path string")
     assert [(r.task_id, r.path) for r in joins.match_scopes(tasks, files).collect()] == [(3, "a.ts")]
     assert sorted(r.task_id for r in joins.blank_scopes(tasks).collect()) == [1, 2]
+
+
+def test_scopes_of_many_tasks_and_files_meet_in_blocks(spark, monkeypatch):
+    """A scope of many tasks is joined a block of tasks at a time, one of missing ids included; what is dealt out grows with the files."""
+    monkeypatch.setattr(joins, "BLOCK_TASKS", 7)
+    monkeypatch.setattr(joins, "SPREAD", 4)
+    files = spark.createDataFrame([("r", f"lib/{i}.ts") for i in range(50)] + [("s", "lib/0.ts"), ("r", "src/0.ts")], "repo string, path string")
+    tasks = spark.createDataFrame([("r", i, "lib") for i in range(40)] + [("r", None, "lib"), ("r", 3, "lib"), ("s", 1, "lib"), ("s", 2, "src"), ("r", 41, "lib/")], "repo string, task_id int, scope string")
+    got = joins.match_scopes(tasks, files)
+    plan, rows = final_plan(got)
+    found = sorted((r.repo, r.task_id if r.task_id is not None else -1, r.path) for r in rows)
+    assert found == sorted([("r", t, f"lib/{i}.ts") for t in [*range(40), -1, 3, 41] for i in range(50)] + [("s", 1, "lib/0.ts")])
+    assert "explode(_tasks" in plan
