@@ -115,6 +115,17 @@ def test_chain_of_many_small_components(spark, table, monkeypatch):
     assert len(written) < 30
 
 
+def test_only_edges_that_lead_on_are_compared(table, monkeypatch):
+    """A cycle of three files that import two hundred others: what imports nothing goes into no table."""
+    sizes, keep = [], cycles.stored
+    monkeypatch.setattr(cycles, "stored", lambda df, *a: (kept := keep(df, *a), sizes.append(kept.count()))[0])
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "b"), ("s", "s"), *[(n, f"leaf{i:03d}") for n in "abc" for i in range(200)]]
+    imports = table([("r", a, b) for a, b in pairs], "repo string, path string, target string")
+    found = cycles.cycle_members(Graph(imports.select("repo", "path"), imports, imports.limit(0).withColumnRenamed("target", "importer")))
+    assert rows(found) == [("r", "a", "a"), ("r", "a", "b"), ("r", "a", "c"), ("r", "s", "s")]
+    assert max(sizes) <= 6
+
+
 @pytest.mark.parametrize("whole, tables", [(12, 12), (0, 1000)])
 def test_scattered_ring(table, monkeypatch, whole, tables):
     """Files of a ring lie in other parts than their neighbours: repositories whole in the end, or label rounds if they are too large for that."""
