@@ -51,15 +51,22 @@ def filter_by_path(files: DataFrame, prefix: str) -> DataFrame:
 def match_prefixes(queries: DataFrame, files: DataFrame) -> DataFrame:
     """``filter_by_path`` for a table of queries (query_id, repo, prefix).
 
-    Each file is keyed by its own path and by every directory above it, so that
-    the prefix test becomes a hash join instead of a comparison of all pairs.
+    Directories are matched first, each keyed by itself and every directory above it, so that
+    the prefix test becomes a hash join instead of a comparison of all pairs. Files then
+    look up their directory, whatever its depth, and the queries that name them.
     """
-    path = F.col("path")
-    keys = F.concat(ancestors(path), F.array(F.concat(path, F.lit("/"))))
-    keyed = files.withColumn("_key", F.explode(keys))
-    wanted = queries.select("query_id", "repo", "prefix", dir_prefix(F.col("prefix")).alias("_key"))
-    hit = (path == F.col("prefix")) | F.startswith(path, F.col("_key"))
-    return keyed.join(wanted, ["repo", "_key"]).filter(hit).drop("_key")
+    path, prefix = F.col("path"), F.col("prefix")
+    others = [c for c in files.columns if c != "repo"]
+    folder = F.substr(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)))
+    placed = files.withColumn("_dir", folder)
+    wanted = queries.select("query_id", "repo", "prefix")
+    keyed = placed.select("repo", "_dir").distinct().withColumn("_key", F.explode(ancestors(F.col("_dir"))))
+    found = keyed.join(wanted.withColumn("_key", dir_prefix(prefix)), ["repo", "_key"]).drop("_key")
+    below = placed.join(found, ["repo", "_dir"])
+    # A name that ends with a slash is below itself.
+    named = files.join(wanted.filter(~F.endswith(prefix, F.lit("/"))).withColumn("path", prefix), ["repo", "path"])
+    columns = ["repo", *others, "query_id", "prefix"]
+    return below.select(*columns).unionByName(named.select(*columns))
 
 
 def find_by_path(files: DataFrame, path: str) -> DataFrame:

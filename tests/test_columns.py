@@ -103,6 +103,18 @@ def test_match_prefixes_agrees_with_the_single_form(spark, table):
     assert got == want
 
 
+def test_match_prefixes_keys_directories(table):
+    """Ancestors are listed for directories, of which there are fewer than files; repeated files are kept."""
+    files = table([("r", "a/b/c/f.ts", 1), ("r", "a/b/c/f.ts", 2), ("r", "a/b/", 3), ("r", "a", 4), ("r", None, 5), (None, "a/x", 6), ("q", "a/b/f.ts", 7)], "repo string, path string, n int")
+    queries = table([(1, "r", "a"), (2, "r", "a/b/"), (3, "r", "a/b/c/f.ts"), (4, "r", "a/b/c/f.ts/"), (5, "r", None), (6, None, "a")], "query_id int, repo string, prefix string")
+    got = filters.match_prefixes(queries, files)
+    assert got.columns == ["repo", "path", "n", "query_id", "prefix"]
+    assert sorted((r.query_id, r.n) for r in got.collect()) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (3, 1), (3, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    listed = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert any("Aggregate [repo" in line for line in plan[listed:])
+
+
 def test_rate_limit_windows_match_brute_force(spark, table):
     import random
     rng = random.Random(3)
