@@ -55,6 +55,15 @@ def test_diff(graph_of):
     assert G.edges_updated(old, new).first().edges_updated == 5
 
 
+def test_diff_counts_an_import_and_its_reverse_as_one_pair(graph_of):
+    old = graph_of({"a": (["b", "b", "a"], ["a"]), "b": ([], ["a", "x"]), "gone": (["a"], [])})
+    new = graph_of({"a": (["c"], ["a"]), "b": ([], ["a"]), "c": ([], ["a", "a"])})
+    diff = G.graph_diff(old, new)
+    assert rows(diff, "path", "direction", "added", "removed") == [("a", "imports", 1, 2), ("b", "imported_by", 0, 1), ("c", "imported_by", 2, 0), ("gone", "imports", 0, 1)]
+    plan = diff._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [repo" in plan and not any("Aggregate [" in line and "other" in line.split("],")[0] for line in plan.splitlines())
+
+
 def test_broken_references(graph_of, table):
     g = graph_of({"a": (["x"], ["x", "b"]), "b": (["a"], [])})
     assert rows(G.broken_references(g, table([("r", "x")], "repo string, path string")), "path", "direction") == [("a", "imported_by"), ("a", "imports")]
